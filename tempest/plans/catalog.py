@@ -41,9 +41,9 @@ def finish(df: DataFrame, money: tuple[str, ...] = (), digits: int = 6, money_di
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             d = money_digits if f.name in money else digits
-            cols.append(F.round(F.col(f.name), d).alias(f.name))
+            cols.append(F.round(F.col(f"`{f.name}`"), d).alias(f.name))
         else:
-            cols.append(F.col(f.name))
+            cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
 
 
