@@ -1,4 +1,4 @@
 """Named queries (each a Spark plan built from the operators) and their oracle SQL."""
 
-from tempest.plans import q_climate, q_portfolio, q_scenarios  # noqa: F401  (registers queries)
+from tempest.plans import q_climate, q_drift, q_portfolio, q_quality, q_scenarios  # noqa: F401  (registers queries)
 from tempest.plans.catalog import ORACLE, QUERIES, oracle_text  # noqa: F401

@@ -36,16 +36,28 @@ def oracle_text(name: str) -> str:
 
 
 def finish(df: DataFrame, money: tuple[str, ...] = (), digits: int = 6, money_digits: int = 2) -> DataFrame:
-    """Round DOUBLE outputs (6 decimals, money 2) so both engines print equal values."""
+    """Round DOUBLE outputs (6 decimals, money 2) so both engines print equal values.
+
+    ``floor(x * 10^d + 0.5) / 10^d`` is plain IEEE arithmetic and gives the
+    same double in every engine, unlike ``round`` (Spark rounds the decimal
+    text half-up, other engines round the binary value), which disagree on
+    exact ties such as 179.8152075.
+    """
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             d = money_digits if f.name in money else digits
-            cols.append(F.round(F.col(f"`{f.name}`"), d).alias(f.name))
+            cols.append(fixed_round(F.col(f"`{f.name}`"), d).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
 
 
+def fixed_round(c, d: int = 6):
+    scale = float(10 ** d)
+    return (F.floor(c * scale + 0.5) / scale).cast("double")
+
+
 def r(expr: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits})"
+    scale = repr(float(10 ** digits))
+    return f"(floor(({expr}) * {scale} + 0.5) / {scale})"

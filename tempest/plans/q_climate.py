@@ -25,7 +25,7 @@ w AS (SELECT *, count(*) OVER (PARTITION BY loc_key, variable) AS n,
         row_number() OVER (PARTITION BY loc_key, variable ORDER BY month DESC) AS rn
       FROM v),
 s AS (SELECT loc_key, variable, any_value(n) AS n, avg(value) AS mean, stddev_pop(value) AS std,
-        min(value) AS vmin, count_if(value > p95) AS n_above,
+        min(value) AS vmin, CAST(count_if(value > p95) AS BIGINT) AS n_above,
         avg(CASE WHEN rn <= least(60, n - 12) THEN value END) AS mean_recent,
         avg(CASE WHEN rn > least(60, n - 12) THEN value END) AS mean_earlier,
         any_value(least(60, n - 12)) AS split

@@ -12,7 +12,7 @@ from tempest.plans.catalog import finish, r, register
 from tempest.plans.sqlbase import strip_sql, tier_sql, with_base
 from tempest.sources.loans import fixture_loans
 
-HC = "count_if(Risk_Category IN ('High', 'Critical'))"
+HC = "CAST(count_if(Risk_Category IN ('High', 'Critical')) AS BIGINT)"
 
 
 # --------------------------------------------------------------------------
@@ -201,9 +201,9 @@ def map_extents_q(spark, sf_dir):
 
 
 @register("class_balance", lambda: with_base(f"""
-SELECT count_if("default" = 0) AS n_negative, count_if("default" = 1) AS n_positive,
+SELECT CAST(count_if("default" = 0) AS BIGINT) AS n_negative, CAST(count_if("default" = 1) AS BIGINT) AS n_positive,
   {r('avg(CAST("default" AS DOUBLE))')} AS default_rate,
-  {r('CAST(count_if("default" = 0) AS DOUBLE) / count_if("default" = 1)')} AS pos_weight
+  {r('CAST(CAST(count_if("default" = 0) AS BIGINT) AS DOUBLE) / CAST(count_if("default" = 1) AS BIGINT)')} AS pos_weight
 FROM clean"""), "A11 P1 M2")
 def class_balance_q(spark, sf_dir):
     return finish(P.class_balance(base.clean(spark, sf_dir)))

@@ -34,7 +34,7 @@ def _inputs(spark, sf_dir):
 @register("scenario_compare", lambda: with_base(f"""WITH {_grid_sql(False)}
 SELECT scenario, scenario_order, carbon_price, {r('avg(CPD)')} AS avg_cpd,
   {r('avg(PD_Uplift_Pct)')} AS avg_uplift_pct,
-  count_if(Risk_Category IN ('High', 'Critical')) AS high_critical,
+  CAST(count_if(Risk_Category IN ('High', 'Critical')) AS BIGINT) AS high_critical,
   {title_sql('scenario')} AS scenario_label
 FROM grid2 GROUP BY scenario, scenario_order, carbon_price"""), "R12 J12 P36")
 def scenario_compare(spark, sf_dir):
@@ -52,7 +52,7 @@ def _stress_sql() -> str:
     return f"""WITH {_grid_sql(True)},
 m AS (SELECT scenario, scenario_order, carbon_price, severity_label, severity, severity_order,
         avg(CPD) AS avg_cpd, avg(PD_Uplift_Pct) AS avg_uplift_pct,
-        count_if(Risk_Category IN ('High', 'Critical')) AS high_critical, count(*) AS n
+        CAST(count_if(Risk_Category IN ('High', 'Critical')) AS BIGINT) AS high_critical, count(*) AS n
       FROM grid2 GROUP BY ALL)"""
 
 

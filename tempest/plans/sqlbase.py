@@ -81,7 +81,7 @@ def div_sql(a: str, b: str) -> str:
 
 
 TYPED_SQL = f"""
-SELECT loan_id,
+SELECT loan_id, issue_d,
   CASE WHEN loan_status IN ('Charged Off', 'Default', 'Late (31-120 days)') THEN 1 ELSE 0 END AS "default",
   loan_status,
   {tod('loan_amnt')} AS loan_amnt,

@@ -119,6 +119,7 @@ FIXTURE_LOAN_COLUMNS: list[tuple[str, str]] = [
     ("percent_bc_gt_75", f"({_K} * 7) % 101"),
     ("bc_util", f"({_K} * 13) % 120"),
     ("mths_since_recent_inq", f"CASE WHEN {_K} % 11 = 0 THEN NULL ELSE {_K} % 24 END"),
+    ("issue_d", "CAST(o_orderdate AS DATE)"),
 ]
 
 
@@ -131,7 +132,7 @@ def fixture_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     the join reuses that partitioning).
     """
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     lines = (
