@@ -1,0 +1,32 @@
+"""Joins of a large row table against a derived lookup table.
+
+``lookup_join`` broadcasts the lookup side only after checking that it holds
+at most ``max_broadcast_rows`` rows (a bounded ``limit(n + 1).count()``, so the
+check never counts past the bound).  Above the bound it leaves the join to a
+shuffle join on the keys, where AQE may still switch to a broadcast at run
+time and splits skewed partitions of the large side.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
+                max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Equi-join on ``keys``; the lookup side is broadcast only when its row count is proven small."""
+    keys = list(keys)
+    if not keys:
+        side = F.broadcast(small) if fits_broadcast(small, max_broadcast_rows) else small
+        return big.crossJoin(side)
+    side = F.broadcast(small) if fits_broadcast(small, max_broadcast_rows) else small
+    return big.join(side, keys, how)

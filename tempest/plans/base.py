@@ -29,3 +29,31 @@ def portfolio(spark: SparkSession, sf_dir: str, scenario: str = "orderly",
     income needs no imputation here."""
     return overlay.score_cpd(with_pd(spark, sf_dir), scenario=scenario, severity=severity,
                              hazard=hazard, impute_income=False)
+
+
+# Second logistic scorecard: a competing score on the same loans, so that
+# two correlated scores can be compared (DeLong, ranking of models).
+SECOND_INTERCEPT = -2.6
+SECOND_WEIGHTS = [
+    # (feature, centre, weight)
+    ("dti", 15.0, 0.035),
+    ("fico_range_low", 690.0, -0.004),
+    ("int_rate", 12.0, 0.03),
+]
+
+
+def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in input of the evaluation jobs: (id, label, p_a, p_b).
+
+    ``label`` is the loan's default flag, ``p_a`` the scorecard PD and ``p_b``
+    the second scorecard, both rounded to 3 decimals so that tied scores occur.
+    """
+    from pyspark.sql import functions as F
+
+    from tempest.plans.catalog import fixed_round
+
+    df = scoring.scorecard_pd(with_pd(spark, sf_dir), weights=SECOND_WEIGHTS,
+                              intercept=SECOND_INTERCEPT, out="_pd_b")
+    return df.select(F.col("loan_id").alias("id"), F.col("default").alias("label"),
+                     fixed_round(F.col("Baseline_PD"), 3).alias("p_a"),
+                     fixed_round(F.col("_pd_b"), 3).alias("p_b"))

@@ -125,9 +125,11 @@ WHERE dti IS NOT NULL AND annual_inc IS NOT NULL AND fico_range_low IS NOT NULL
 """
 
 
-def _scorecard_sql() -> str:
-    z = f"CAST({scoring.SCORECARD_INTERCEPT} AS DOUBLE)"
-    for f, centre, w in scoring.SCORECARD_WEIGHTS:
+def _scorecard_sql(weights=None, intercept=None) -> str:
+    weights = scoring.SCORECARD_WEIGHTS if weights is None else weights
+    intercept = scoring.SCORECARD_INTERCEPT if intercept is None else intercept
+    z = f"CAST({intercept} AS DOUBLE)"
+    for f, centre, w in weights:
         z += f" + CAST({w} AS DOUBLE) * (coalesce({f}, med_{f}) - CAST({centre} AS DOUBLE))"
     return f"1.0 / (1.0 + exp(-({z})))"
 
@@ -198,3 +200,23 @@ pd AS ({PD_SQL}),
 lookup AS ({LOOKUP_SQL}),
 cpd AS ({scored_sql(repr(float(severity)), repr(float(scenario_price)))}),
 portfolio AS ({FINAL_SQL}){body if body.startswith(",") else chr(10) + body}"""
+
+
+def labels_sql() -> str:
+    """CTE body of the scored labels (id, label, p_a, p_b); needs the ``pd`` CTE of ``with_base``."""
+    from tempest.plans import base
+    from tempest.plans.catalog import r
+    meds = ", ".join(f"median({f}) AS med_{f}" for f, _, _ in base.SECOND_WEIGHTS)
+    return f"""SELECT loan_id AS id, "default" AS label, {r('Baseline_PD', 3)} AS p_a,
+  {r(_scorecard_sql(base.SECOND_WEIGHTS, base.SECOND_INTERCEPT), 3)} AS p_b
+FROM pd, (SELECT {meds} FROM clean) med"""
+
+
+def with_labels(body: str) -> str:
+    """``with_base`` plus the ``labels`` CTE; ``body`` may start with its own ``WITH``."""
+    stripped = body.lstrip()
+    extra = ""
+    if stripped[:4].upper() == "WITH":
+        extra = ",\n" + stripped[4:]
+        stripped = ""
+    return with_base(f"WITH labels AS ({labels_sql()}){extra}\n{stripped}")
