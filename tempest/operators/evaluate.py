@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tempest import config
 from tempest.functions import columns as C
 from tempest.operators.joins import lookup_join
+from tempest.session import cut_lineage
 
 ROWS_PER_BUCKET = 2_000_000
 Z_975 = 1.959963984540054  # standard normal quantile at 0.975 (95 % interval)
@@ -73,7 +74,8 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], partitio
     w_tot = Window.partitionBy(*parts).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*parts, "_bucket", *[
         F.coalesce(F.sum(f"_t_{c}").over(w_tot), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
-    joined = lookup_join(b, offsets, parts + ["_bucket"])
+    # one row per (partition, bucket): bounded by the bucket count, safe to broadcast
+    joined = b.join(F.broadcast(offsets), parts + ["_bucket"], "inner")
     order = [F.col(order_col)] + ([F.col(tie_col)] if tie_col else [])
     w_in = Window.partitionBy(*parts, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return joined.select(
@@ -83,11 +85,16 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], partitio
 
 
 def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One row per distinct score: (score, n_pos, n_neg); rows with a missing score or label are left out."""
+    """One row per distinct score: (score, n_pos, n_neg); rows with a missing score or label are left out.
+
+    The table is checkpointed into the session's checkpoint folder: the
+    ordering steps read it several times (count, quantiles, sums), and after
+    the checkpoint none of them goes back to the scored rows.
+    """
     y = F.col(label).cast("long")
-    return (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-            .groupBy(F.col(score).cast("double").alias("score"))
-            .agg(F.sum(y).alias("n_pos"), F.sum(F.lit(1) - y).alias("n_neg")))
+    return cut_lineage(df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+                       .groupBy(F.col(score).cast("double").alias("score"))
+                       .agg(F.sum(y).alias("n_pos"), F.sum(F.lit(1) - y).alias("n_neg")))
 
 
 def curve_counts(df: DataFrame, label: str = "label", score: str = "score",
@@ -149,8 +156,8 @@ def f1_threshold(pr: DataFrame) -> DataFrame:
 
 def midrank(df: DataFrame, value: str, id_cols: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """1-based rank with ties sharing the average rank, for every row."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v"))
+                         .agg(F.count(F.lit(1)).alias("n")))
     pre = prefix_sums(counts, "_v", ["n"], rows_per_bucket=rows_per_bucket)
     ranks = pre.select("_v", (F.col("n_before") + (F.col("n") + 1) / 2.0).alias("midrank"))
     rows = df.select(*id_cols, F.col(value).cast("double").alias("_v"))

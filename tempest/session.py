@@ -48,11 +48,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; a cluster session must name a shared folder"
-        )
-    return d
+    if d:
+        return d
+    if spark.sparkContext.master.startswith("local"):
+        # single-machine session (tests, checks): no shared folder exists, so choose one here
+        d = tempfile.mkdtemp(prefix="tempest-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", d)
+        return d
+    raise RuntimeError("spark.checkpoint.dir is not set; a cluster session must name a shared folder")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
