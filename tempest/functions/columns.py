@@ -146,3 +146,9 @@ def title_label(c) -> Column:
 def bubble_radius(n) -> Column:
     """max(6, min(25, 4 + 2.5 * ln(1 + n)))."""
     return F.greatest(lit_d(6.0), F.least(lit_d(25.0), lit_d(4.0) + lit_d(2.5) * F.log1p(col_(n).cast("double"))))
+
+
+def fixed_round_col(c, d: int) -> Column:
+    """Round half up at ``d`` decimals by ``floor(x * 10^d + 0.5) / 10^d`` (same double in every engine)."""
+    scale = float(10 ** d)
+    return (F.floor(col_(c) * scale + 0.5) / scale).cast("double")
