@@ -24,8 +24,9 @@ from tempest import config
 RAW_LOAN_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in config.RAW_COLS])
 
 
-def read_loan_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Scan the 32 raw columns as STRING (column pruning happens in the CSV reader)."""
+def read_loan_csv(spark: SparkSession, path: str, limit: int | None = None,
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scan the 32 raw columns (plus ``keep``, e.g. an id) as STRING; the CSV reader prunes the rest."""
     df = (
         spark.read.option("header", True)
         .option("mode", "PERMISSIVE")
@@ -34,7 +35,7 @@ def read_loan_csv(spark: SparkSession, path: str, limit: int | None = None) -> D
     missing = [c for c in config.RAW_COLS if c not in df.columns]
     if missing:
         raise ValueError(f"CSV lacks raw columns: {missing}")
-    df = df.select(*[F.col(c).cast("string") for c in config.RAW_COLS])
+    df = df.select(*[F.col(c) for c in keep], *[F.col(c).cast("string") for c in config.RAW_COLS])
     return df.limit(limit) if limit is not None else df
 
 
