@@ -109,11 +109,11 @@ def adapt_indian_bank(df: DataFrame, id_col: str = "ID") -> DataFrame:
 
 def retention(raw: DataFrame, adapted: DataFrame, dataset: str) -> DataFrame:
     """Input rows, kept rows, retained share (%) and default rate of the kept rows."""
-    n_in = raw.agg(F.count(F.lit(1)).alias("n_input"))
+    n_in = raw.agg(F.count(F.lit(1))).scalar()
     kept = adapted.agg(F.count(F.lit(1)).alias("n_kept"), F.avg(F.col("default").cast("double")).alias("default_rate"))
-    return n_in.crossJoin(kept).select(
-        F.lit(dataset).alias("dataset"), "n_input", "n_kept",
-        (F.col("n_kept") / F.col("n_input") * 100.0).alias("retained_pct"), "default_rate")
+    return kept.select(
+        F.lit(dataset).alias("dataset"), n_in.alias("n_input"), "n_kept",
+        (F.col("n_kept") / n_in * 100.0).alias("retained_pct"), "default_rate")
 
 
 # S3: dataset registry, key -> (label, loader(spark, path, limit) -> loan-schema DataFrame)

@@ -101,10 +101,11 @@ def curve_counts(df: DataFrame, label: str = "label", score: str = "score",
                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Per distinct score ``t``: tp / fp = positives / negatives with score >= t, plus totals."""
     sc = score_counts(df, label, score)
-    tot = sc.agg(F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N"))
+    P = sc.agg(F.sum("n_pos")).scalar()  # scalar subqueries over the (checkpointed) distinct-score table
+    N = sc.agg(F.sum("n_neg")).scalar()
     pre = prefix_sums(sc, "score", ["n_pos", "n_neg"], rows_per_bucket=rows_per_bucket)
-    return pre.crossJoin(tot).select(
-        "score", "n_pos", "n_neg", "P", "N", "n_pos_before", "n_neg_before",
+    return pre.select(
+        "score", "n_pos", "n_neg", P.alias("P"), N.alias("N"), "n_pos_before", "n_neg_before",
         (F.col("P") - F.col("n_pos_before")).alias("tp"),
         (F.col("N") - F.col("n_neg_before")).alias("fp"),
     )
@@ -266,11 +267,11 @@ def ece(df: DataFrame, n_bins: int = 10, label: str = "label", score: str = "sco
         cond = (p >= C.lit_d(edges[i])) & (p < C.lit_d(edges[i + 1]))
         b = F.when(cond, F.lit(i)) if b is None else b.when(cond, F.lit(i))
     binned = df.select(b.alias("bin"), F.col(label).cast("double").alias("y"), p.alias("p"))
-    total = binned.agg(F.count(F.lit(1)).alias("total"))
+    total = binned.agg(F.count(F.lit(1))).scalar()
     per_bin = binned.where(F.col("bin").isNotNull()).groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg("y").alias("frac_pos"), F.avg("p").alias("mean_pred"))
-    return per_bin.crossJoin(total).agg(
-        F.sum(F.col("n") / F.col("total") * F.abs(F.col("frac_pos") - F.col("mean_pred"))).alias("ece"))
+    return per_bin.agg(
+        F.sum(F.col("n") / total * F.abs(F.col("frac_pos") - F.col("mean_pred"))).alias("ece"))
 
 
 def reliability(df: DataFrame, n_bins: int = 15, label: str = "label", score: str = "score") -> DataFrame:
@@ -281,10 +282,10 @@ def reliability(df: DataFrame, n_bins: int = 15, label: str = "label", score: st
     are dropped.  Output: bin, n, mean_pred, frac_pos.
     """
     probs = [(q * 100.0) / 100.0 for q in linspace(0.0, 1.0, n_bins + 1)]
-    edges = df.agg(F.percentile(F.col(score), F.array(*[C.lit_d(q) for q in probs])).alias("e"))
-    inner = F.slice(F.col("e"), 2, n_bins - 1)
-    binned = df.crossJoin(edges).select(
-        F.size(F.filter(inner, lambda x: x < F.col(score))).alias("bin"),
+    edges = df.agg(F.percentile(F.col(score), F.array(*[C.lit_d(q) for q in probs]))).scalar()
+    below = [F.when(edges[i] < F.col(score), F.lit(1)).otherwise(F.lit(0)) for i in range(1, n_bins)]
+    binned = df.select(
+        sum(below[1:], below[0]).alias("bin"),
         F.col(label).cast("double").alias("y"), F.col(score).alias("p"))
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_pred"),
                                      F.avg("y").alias("frac_pos"))
@@ -324,12 +325,14 @@ def delong(df: DataFrame, score_a: str, score_b: str, label: str = "label", id_c
     stats = comp_rows.groupBy("y").agg(
         F.count(F.lit(1)).alias("n"), F.avg("va").alias("ma"), F.avg("vb").alias("mb"),
         F.var_samp("va").alias("saa"), F.var_samp("vb").alias("sbb"), F.covar_samp("va", "vb").alias("sab"))
-    pos, neg = stats.where("y = 1").alias("p"), stats.where("y = 0").alias("q")
-    j = pos.crossJoin(neg)
-    auc_a, auc_b = F.col("p.ma"), F.col("p.mb")
-    var_a = F.col("p.saa") / F.col("p.n") + F.col("q.saa") / F.col("q.n")
-    var_b = F.col("p.sbb") / F.col("p.n") + F.col("q.sbb") / F.col("q.n")
-    cov = F.col("p.sab") / F.col("p.n") + F.col("q.sab") / F.col("q.n")
+    # one row per class: pivot the two rows into one with conditional aggregates
+    def pick(c, y):
+        return F.max(F.when(F.col("y") == y, F.col(c)))
+    j = stats.agg(*[pick(c, y).alias(f"{c}_{y}") for c in ("n", "ma", "mb", "saa", "sbb", "sab") for y in (0, 1)])
+    auc_a, auc_b = F.col("ma_1"), F.col("mb_1")
+    var_a = F.col("saa_1") / F.col("n_1") + F.col("saa_0") / F.col("n_0")
+    var_b = F.col("sbb_1") / F.col("n_1") + F.col("sbb_0") / F.col("n_0")
+    cov = F.col("sab_1") / F.col("n_1") + F.col("sab_0") / F.col("n_0")
     out = j.select(auc_a.alias("auc_a"), auc_b.alias("auc_b"), var_a.alias("var_a"), var_b.alias("var_b"),
                    cov.alias("cov_ab"))
     z = F.abs(F.col("auc_a") - F.col("auc_b")) / F.sqrt(F.col("var_a") + F.col("var_b") - 2 * F.col("cov_ab"))
@@ -396,6 +399,5 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 def with_weight(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """M2: per-row weight column (neg/pos on positives, 1 on negatives) for ``weightCol``."""
-    w = class_weights(df, label).select("scale_pos_weight")
-    return df.crossJoin(F.broadcast(w)).withColumn(
-        out, F.when(F.col(label) == 1, F.col("scale_pos_weight")).otherwise(C.lit_d(1.0))).drop("scale_pos_weight")
+    w = class_weights(df, label).select("scale_pos_weight").scalar()
+    return df.withColumn(out, F.when(F.col(label) == 1, w).otherwise(C.lit_d(1.0)))

@@ -26,7 +26,6 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     """Equi-join on ``keys``; the lookup side is broadcast only when its row count is proven small."""
     keys = list(keys)
     if not keys:
-        side = F.broadcast(small) if fits_broadcast(small, max_broadcast_rows) else small
-        return big.crossJoin(side)
+        raise ValueError("lookup_join needs at least one key")
     side = F.broadcast(small) if fits_broadcast(small, max_broadcast_rows) else small
     return big.join(side, keys, how)

@@ -58,11 +58,10 @@ def weighted(df: DataFrame, mode: str) -> DataFrame:
     """M2: 'pos' = neg/pos on positives (boosters), 'balanced' = n / (2 n_c)."""
     w = E.class_weights(df.where(F.col("split") == "train"))
     if mode == "pos":
-        wc = F.when(F.col("label") == 1, F.col("scale_pos_weight")).otherwise(C.lit_d(1.0))
+        wc = F.when(F.col("label") == 1, w.select("scale_pos_weight").scalar()).otherwise(C.lit_d(1.0))
     else:
-        wc = F.when(F.col("label") == 1, F.col("weight_pos")).otherwise(F.col("weight_neg"))
-    return df.crossJoin(F.broadcast(w.select("scale_pos_weight", "weight_pos", "weight_neg"))) \
-        .withColumn("weight", wc).drop("scale_pos_weight", "weight_pos", "weight_neg")
+        wc = F.when(F.col("label") == 1, w.select("weight_pos").scalar()).otherwise(w.select("weight_neg").scalar())
+    return df.withColumn("weight", wc)
 
 
 def gbt(max_iter: int = config.GBT_PARAMS["maxIter"], max_depth: int = config.GBT_PARAMS["maxDepth"],
@@ -163,12 +162,11 @@ def test_metrics(model: PipelineModel, mf: DataFrame, name: str, iso=None, secon
         scored = iso.transform(scored)
     else:
         scored = scored.withColumn("p_cal", F.col("p_raw"))
-    auc_raw = E.auc(scored.select("label", F.col("p_raw").alias("score"))).select(F.col("auc").alias("auc_raw"))
-    auc_cal = E.auc(scored.select("label", F.col("p_cal").alias("score"))).select(F.col("auc").alias("auc"))
-    brier = E.brier(scored.select("label", F.col("p_cal").alias("score")))
-    n = scored.agg(F.count(F.lit(1)).alias("n_test"))
-    return auc_raw.crossJoin(auc_cal).crossJoin(brier).crossJoin(n).select(
-        F.lit(name).alias("model"), "auc_raw", "auc", "brier", "n_test",
+    auc_raw = E.auc(scored.select("label", F.col("p_raw").alias("score"))).select("auc").scalar()
+    auc_cal = E.auc(scored.select("label", F.col("p_cal").alias("score"))).select("auc").scalar()
+    brier = E.brier(scored.select("label", F.col("p_cal").alias("score"))).scalar()
+    return scored.agg(F.count(F.lit(1)).alias("n_test")).select(
+        F.lit(name).alias("model"), auc_raw.alias("auc_raw"), auc_cal.alias("auc"), brier.alias("brier"), "n_test",
         F.lit(seconds).cast("double").alias("train_seconds"))
 
 
@@ -221,7 +219,7 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequ
     per_copy = pre.groupBy("feature", "rep").agg(
         (F.sum(F.col("n_pos") * (F.col("n_neg_before") + F.col("n_neg") * 0.5))
          / (F.sum("n_pos") * F.sum("n_neg"))).alias("auc"))
-    drops = per_copy.crossJoin(base_auc).withColumn("drop", F.col("base_auc") - F.col("auc"))
+    drops = per_copy.withColumn("drop", base_auc.scalar() - F.col("auc"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"),
                                         F.stddev_pop("drop").alias("importance_std"))
 

@@ -137,14 +137,13 @@ def cross_dataset(spark, sf_dir):
     other = A.adapt_home_credit(src.fixture_home_credit(spark, sf_dir)).withColumnRenamed("loan_id", "id") \
         .withColumnRenamed("default", "label")
     scored = cut_lineage(M.score(model, other, "score").select("id", "label", "score"))
-    auc = E.auc(scored).select("auc")
-    rate = E.rate_threshold(scored)
-    t_rate = rate.select("threshold").first()[0]
+    auc = E.auc(scored).select("auc").scalar()
+    rate = E.rate_threshold(scored).first()
     parts = []
-    for kind, t in (("0.50", 0.5), ("rate_matched", t_rate)):
+    for kind, t in (("0.50", 0.5), ("rate_matched", rate.threshold)):
         parts.append(E.class_report(E.confusion(scored, t)).select(
             F.lit(kind).alias("threshold_kind"), F.lit(float(t)).alias("threshold"), "*"))
-    return parts[0].unionByName(parts[1]).crossJoin(auc).crossJoin(rate.select("default_rate"))
+    return parts[0].unionByName(parts[1]).select("*", auc.alias("auc"), F.lit(rate.default_rate).alias("default_rate"))
 
 
 @register("model_roundtrip", None, "S12 M10")

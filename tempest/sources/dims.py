@@ -38,6 +38,32 @@ SCENARIO_SCHEMA = T.StructType([
 MAX_DIM_ROWS = 128
 
 
+def _sql_literal(v, dt: T.DataType) -> str:
+    if v is None:
+        return f"CAST(NULL AS {dt.simpleString()})"
+    if isinstance(dt, T.StringType):
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(dt, T.DoubleType):
+        return f"CAST({float(v)!r} AS DOUBLE)"
+    return f"CAST({int(v)} AS {dt.simpleString()})"
+
+
+def local_table(spark: SparkSession, rows, schema: T.StructType | str) -> DataFrame:
+    """A small fixed table as an inline ``VALUES`` relation.
+
+    The plan holds the rows themselves (``LocalTableScan``): no Python worker
+    and no RDD is involved when a task reads them, unlike a frame built from
+    a Python list.
+    """
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    fields = schema.fields
+    body = ", ".join("(" + ", ".join(_sql_literal(v, f.dataType) for v, f in zip(row, fields)) + ")"
+                     for row in rows)
+    names = ", ".join(f"`{f.name}`" for f in fields)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({names})")
+
+
 def state_dim(spark: SparkSession) -> DataFrame:
     """State key, static hazard, coordinates, coast distance and elevation.
 
@@ -45,7 +71,7 @@ def state_dim(spark: SparkSession) -> DataFrame:
     first, then Indian rows (O1: the two coordinate maps as one union).
     """
     rows = config.state_rows()
-    return F.broadcast(spark.createDataFrame(rows, STATE_SCHEMA))
+    return F.broadcast(local_table(spark, rows, STATE_SCHEMA))
 
 
 def state_coords(spark: SparkSession) -> DataFrame:
@@ -60,22 +86,22 @@ def state_coords(spark: SparkSession) -> DataFrame:
 
 
 def sector_dim(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(config.sector_rows(), SECTOR_SCHEMA))
+    return F.broadcast(local_table(spark, config.sector_rows(), SECTOR_SCHEMA))
 
 
 def scenario_dim(spark: SparkSession) -> DataFrame:
     rows = [(k, float(v), i) for i, (k, v) in enumerate(config.CARBON_PRICES.items())]
-    return F.broadcast(spark.createDataFrame(rows, SCENARIO_SCHEMA))
+    return F.broadcast(local_table(spark, rows, SCENARIO_SCHEMA))
 
 
 def org_sector_dim(spark: SparkSession) -> DataFrame:
     schema = "organization_type string, sector string"
-    return F.broadcast(spark.createDataFrame(config.org_sector_rows(), schema))
+    return F.broadcast(local_table(spark, config.org_sector_rows(), schema))
 
 
 def tier_dim(spark: SparkSession) -> DataFrame:
     rows = [(lab, i) for i, lab in enumerate(config.RISK_LABELS)]
-    return F.broadcast(spark.createDataFrame(rows, "Risk_Category string, tier_order int"))
+    return F.broadcast(local_table(spark, rows, "Risk_Category string, tier_order int"))
 
 
 def scenario_price(scenario: str) -> float:
