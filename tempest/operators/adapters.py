@@ -77,7 +77,7 @@ def adapt_indian_bank(df: DataFrame, id_col: str = "ID") -> DataFrame:
     emi = F.col("Existing_EMI").cast("double")
     amount = F.col("Loan_Amount_Applied").cast("double")
     tenure_months = F.col("Loan_Tenure_Applied").cast("double") * C.lit_d(12.0)
-    med = df.agg(F.percentile(income, F.lit(0.5))).scalar()
+    med = df.agg(C.quantile(income, 0.5)).scalar()
     purpose = F.lit("small_business")
     if "Source_0" in df.columns:
         s1 = F.col("Source_1") == 1 if "Source_1" in df.columns else F.lit(False)

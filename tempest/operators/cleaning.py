@@ -105,7 +105,7 @@ def medians_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     with the number of *distinct* values, which is small for loan features
     (rates, ratios on a grid, integer scores).
     """
-    return df.agg(*[F.percentile(F.col(c), F.lit(0.5)).alias(c) for c in cols])
+    return df.agg(*[C.quantile(c, 0.5).alias(c) for c in cols])
 
 
 def median_impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -35,7 +35,7 @@ def feature_stats(long_df: DataFrame, percentiles=STAT_PERCENTILES) -> DataFrame
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
-        F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("_q"),
+        C.quantile("value", probs).alias("_q"),
         F.max("value").alias("max"),
     )
     return stats.select("feature", "count", "mean", "std", "min",
@@ -52,7 +52,7 @@ def psi(expected: DataFrame, actual: DataFrame, n_bins: int = config.PSI_BINS) -
     """
     probs = [i / n_bins for i in range(n_bins + 1)]
     edges = expected.groupBy("feature").agg(
-        F.array_sort(F.array_distinct(F.percentile("value", F.array(*[F.lit(p) for p in probs])))).alias("e"),
+        F.array_sort(F.array_distinct(C.quantile("value", probs))).alias("e"),
         F.count(F.lit(1)).alias("n_expected"),
     )
     k = F.size("e")
@@ -162,15 +162,15 @@ def five_numbers(df: DataFrame, value: str, by: str) -> DataFrame:
     """Min, quartiles, max per class."""
     return df.where(F.col(value).isNotNull()).groupBy(by).agg(
         F.min(value).alias("min"),
-        F.percentile(value, F.lit(0.25)).alias("q1"),
-        F.percentile(value, F.lit(0.5)).alias("median"),
-        F.percentile(value, F.lit(0.75)).alias("q3"),
+        C.quantile(value, 0.25).alias("q1"),
+        C.quantile(value, 0.5).alias("median"),
+        C.quantile(value, 0.75).alias("q3"),
         F.max(value).alias("max"),
     )
 
 
 def clip_at_percentile(df: DataFrame, value: str, q: float = 0.99, out: str | None = None) -> DataFrame:
     """Clip a column at its q-th percentile (scalar subquery + null-safe clip)."""
-    cap = df.agg(F.percentile(value, F.lit(q))).scalar()
+    cap = df.agg(C.quantile(value, q)).scalar()
     x = F.col(value)
     return df.withColumn(out or value, F.when(x.isNull(), x).otherwise(F.least(x, cap)))

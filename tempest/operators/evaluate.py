@@ -242,7 +242,7 @@ def rate_threshold(df: DataFrame, label: str = "label", score: str = "score") ->
     rate = df.agg(F.avg(F.col(label).cast("double"))).first()[0]
     q = (100.0 * (1.0 - rate)) / 100.0
     return df.agg(F.lit(rate).alias("default_rate"),
-                  F.percentile(F.col(score), F.lit(q)).alias("threshold"))
+                  C.quantile(score, q).alias("threshold"))
 
 
 # ---------------------------------------------------------------------------
@@ -282,7 +282,7 @@ def reliability(df: DataFrame, n_bins: int = 15, label: str = "label", score: st
     are dropped.  Output: bin, n, mean_pred, frac_pos.
     """
     probs = [(q * 100.0) / 100.0 for q in linspace(0.0, 1.0, n_bins + 1)]
-    edges = df.agg(F.percentile(F.col(score), F.array(*[C.lit_d(q) for q in probs]))).scalar()
+    edges = df.agg(C.quantile(score, probs)).scalar()
     below = [F.when(edges[i] < F.col(score), F.lit(1)).otherwise(F.lit(0)) for i in range(1, n_bins)]
     binned = df.select(
         sum(below[1:], below[0]).alias("bin"),

@@ -106,7 +106,7 @@ def income_filled(df: DataFrame, income_col: str = "annual_inc", impute: bool =
     """Income with missing values replaced by the batch median (scalar subquery)."""
     if not impute:
         return F.col(income_col)
-    med = df.agg(F.percentile(F.col(income_col), F.lit(0.5))).scalar()
+    med = df.agg(C.quantile(income_col, 0.5)).scalar()
     return F.coalesce(F.col(income_col), med)
 
 

@@ -93,7 +93,7 @@ def _retention_sql() -> str:
             + part("indian_bank", src.fixture_indian_bank_sql(), _indian_bank_sql()))
 
 
-@register("adapter_retention", _retention_sql, "P27 S3")
+@register("adapter_retention", _retention_sql, "P27 S3 O1")
 def adapter_retention(spark, sf_dir):
     """Rows in, rows kept, retained share and default rate per adapted dataset."""
     hc_raw, ib_raw = src.fixture_home_credit(spark, sf_dir), src.fixture_indian_bank(spark, sf_dir)

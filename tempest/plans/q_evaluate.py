@@ -45,7 +45,7 @@ WITH a AS (SELECT 'p_a' AS model, auc FROM {_auc_sql('p_a')}
            UNION ALL SELECT 'p_b' AS model, auc FROM {_auc_sql('p_b')})
 SELECT model, {r('auc')} AS auc,
   CAST(trunc(rank() OVER (ORDER BY auc DESC) + (count(*) OVER (PARTITION BY auc) - 1) / 2.0) AS INTEGER) AS auc_rank
-FROM a"""), "W1 M11")
+FROM a"""), "W1 M11 O1")
 def auc_ranking(spark, sf_dir):
     """Models ranked by AUC, descending, ties sharing the average rank truncated to int."""
     lab = base.scored_labels(spark, sf_dir)

@@ -173,3 +173,9 @@ def threshold_artifacts(spark, sf_dir):
     path = f"{checkpoint_dir(spark)}/artifacts/{uuid.uuid4().hex}"
     table.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+@register("tune_gbt", None, "M8 M7")
+def tune_gbt(spark, sf_dir):
+    """Seeded random search (75 candidates, 3-fold stratified CV, parallel fits): CV AUC per candidate."""
+    return M.tune_gbt(model_frame(spark, sf_dir), trials=config.TUNING_TRIALS, folds=3, parallelism=8)

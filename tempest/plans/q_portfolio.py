@@ -28,7 +28,7 @@ FROM (SELECT *, {strip_sql('addr_state')} AS state FROM portfolio) WHERE state I
 GROUP BY state ORDER BY avg_cpd DESC""")
 
 
-@register("cpd_by_state", _cpd_by_state_sql, "R8 R9 R10 R11 J1 J3 R5 R6 A4 T1")
+@register("cpd_by_state", _cpd_by_state_sql, "R8 R9 R10 R11 J1 J3 R5 R6 A4 T1 S7")
 def cpd_by_state(spark, sf_dir):
     """Minimum slice: scored portfolio (static hazard, orderly) aggregated by state."""
     scored = base.portfolio(spark, sf_dir)
