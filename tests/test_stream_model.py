@@ -79,3 +79,18 @@ def test_random_param_maps_seeded():
     a, b = M.random_param_maps(est, 3, 1), M.random_param_maps(est, 3, 1)
     assert [sorted((p.name, v) for p, v in m.items()) for m in a] == [sorted((p.name, v) for p, v in m.items()) for m in b]
     assert all(3 <= m[est.maxDepth] <= 10 for m in a)
+
+
+def test_sampled_shapley_efficiency(spark, mf):
+    """One order per (row, sample) shared by all features: values sum to f(x) - f(z) exactly (one background row)."""
+    model = M.fit(mf, "gbt", max_iter=5)
+    test = mf.where(F.col("split") == "test").orderBy("id").limit(3)
+    bg = mf.where(F.col("split") == "train").orderBy("id").limit(1)
+    attr = M.sampled_shapley(model, test, bg, samples=4, background_size=1)
+    tot = {r.id: r.s for r in attr.groupBy("id").agg(F.sum("contribution").alias("s")).collect()}
+    logit = F.log(F.col("p") / (1 - F.col("p")))
+    fx = {r.id: r.z for r in M.score(model, test).select("id", logit.alias("z")).collect()}
+    fz = M.score(model, bg).select(logit.alias("z")).first().z
+    assert len(tot) == 3
+    for i, s in tot.items():
+        assert s == pytest.approx(fx[i] - fz, abs=1e-9)
