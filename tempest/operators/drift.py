@@ -50,6 +50,16 @@ def psi(expected: DataFrame, actual: DataFrame, n_bins: int = config.PSI_BINS) -
     with a closed last bin; values outside the edges fall in no bin but
     still count in the denominator; empty bins take share 1e-4.
     """
+    return psi_with_counts(expected, actual, n_bins).select("feature", "psi")
+
+
+def psi_with_counts(expected: DataFrame, actual: DataFrame, n_bins: int = config.PSI_BINS) -> DataFrame:
+    """``psi`` plus ``n_actual`` (rows of the feature in the actual sample, NULL when none).
+
+    Each sample is read once: one grouped count per (feature, bin), where
+    rows outside the edges (or of a feature with fewer than two edges) go to
+    bin -1; totals and presence come from that small table.
+    """
     probs = [i / n_bins for i in range(n_bins + 1)]
     edges = expected.groupBy("feature").agg(
         F.array_sort(F.array_distinct(C.quantile("value", probs))).alias("e"),
@@ -61,33 +71,36 @@ def psi(expected: DataFrame, actual: DataFrame, n_bins: int = config.PSI_BINS) -
         F.slice("e", 2, F.greatest(k - 2, F.lit(0))),
         F.array(F.element_at("e", -1) + C.lit_d(1e-8)),
     ))
+    # one row per feature: bounded by the number of features
     edges = F.broadcast(edges.select("feature", "n_expected", widened.alias("edges")))
 
     def binned(sample: DataFrame, side: str) -> DataFrame:
         e = F.col("edges")
         last = F.element_at(e, -1)
         idx = F.when(
-            (F.col("value") >= e[0]) & (F.col("value") <= last),
+            e.isNotNull() & (F.col("value") >= e[0]) & (F.col("value") <= last),
             F.least(F.size(F.filter(e, lambda x: x <= F.col("value"))) - 1, F.size(e) - 2),
-        )
-        return sample.join(edges.select("feature", "edges"), "feature").where(F.col("edges").isNotNull()) \
-            .select("feature", idx.alias("bin")).where(F.col("bin").isNotNull()) \
-            .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias(f"n_{side}"))
+        ).otherwise(F.lit(-1))
+        return sample.join(edges.select("feature", "edges"), "feature") \
+            .groupBy("feature", idx.alias("bin")).agg(F.count(F.lit(1)).alias(f"n_{side}"))
 
-    n_actual = actual.groupBy("feature").agg(F.count(F.lit(1)).alias("n_actual"))
+    exp_counts = binned(expected, "exp")
+    act_counts = binned(actual, "act")
+    n_actual = act_counts.groupBy("feature").agg(F.sum("n_act").alias("n_actual"))
     bins = edges.where(F.size("edges") >= 2).select(
         "feature", "n_expected", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    counts = (bins.join(binned(expected, "exp"), ["feature", "bin"], "left")
-              .join(binned(actual, "act"), ["feature", "bin"], "left")
+    counts = (bins.join(exp_counts, ["feature", "bin"], "left")
+              .join(act_counts, ["feature", "bin"], "left")
               .join(n_actual, "feature", "left"))
     e_pct = F.when(F.coalesce("n_exp", F.lit(0)) == 0, C.lit_d(1e-4)) \
         .otherwise(F.col("n_exp") / F.col("n_expected"))
     a_pct = F.when(F.coalesce("n_act", F.lit(0)) == 0, C.lit_d(1e-4)) \
         .otherwise(F.col("n_act") / F.greatest(F.coalesce("n_actual", F.lit(0)), F.lit(1)))
-    per_feature = counts.groupBy("feature").agg(F.sum((a_pct - e_pct) * F.log(a_pct / e_pct)).alias("psi"))
+    per_feature = counts.groupBy("feature").agg(F.sum((a_pct - e_pct) * F.log(a_pct / e_pct)).alias("psi"),
+                                                F.first("n_actual").alias("n_actual"))
     # features with fewer than two distinct edges have PSI 0
     degenerate = edges.where(F.size("edges").isNull() | (F.size("edges") < 2)).select(
-        "feature", C.lit_d(0.0).alias("psi"))
+        "feature", C.lit_d(0.0).alias("psi")).join(n_actual, "feature", "left")
     return per_feature.unionByName(degenerate)
 
 
@@ -113,8 +126,8 @@ def feature_drift(new_data: DataFrame, stats: DataFrame, features: Sequence[str]
     actual = long_form(new_data, feats)
     stats = stats.where(F.col("feature").isin(*feats))
     ref = reference_sample(stats)
-    present = actual.select("feature").distinct()
-    out = psi(ref, actual).join(present, "feature", "inner")  # J15 (inner on feature name)
+    # Only features present in the new data (and in the stats)
+    out = psi_with_counts(ref, actual).where(F.col("n_actual") > 0)
     return out.select("feature", F.round("psi", 5).alias("psi"), drift_status(F.col("psi")).alias("status"))
 
 

@@ -33,6 +33,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TEMPEST_DRIVER_MEMORY", "16g"))
+        # wide generated code (the loan schema has ~40 derived columns) exceeds the JIT's
+        # 8000-bytecode limit and would run interpreted; on a cluster set the same
+        # option in spark.executor.extraJavaOptions
+        .config("spark.driver.extraJavaOptions", os.environ.get("TEMPEST_DRIVER_JAVA_OPTS", "-XX:-DontCompileHugeMethods"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tempest-wh-"))
     )
     for k, v in SCALE_CONF.items():

@@ -48,7 +48,7 @@ def read_climate_json(spark: SparkSession, path: str) -> DataFrame:
 def fixture_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_shipdate")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nation_state = spark.createDataFrame(list(enumerate(FIXTURE_STATES)), "nationkey int, state_key string")
+    nation_state = dims.local_table(spark, list(enumerate(FIXTURE_STATES)), "nationkey int, state_key string")
     coords = dims.state_coords(spark).select("state_key", "loc_key")
     loc = F.broadcast(nation_state.join(coords, "state_key").select("nationkey", "loc_key"))
     monthly = (
