@@ -147,15 +147,24 @@ def missing_profile(df: DataFrame) -> DataFrame:
 
 
 def correlations(df: DataFrame, cols: Sequence[str], target: str | None = None) -> DataFrame:
-    """Pearson correlation of every pair (pairwise complete rows), one aggregate pass."""
+    """Pearson correlation of every pair (pairwise complete rows), one pass.
+
+    Each row is exploded into one (pair, x, y) record per pair inside the scan
+    stage and ``corr`` runs per pair: a narrow hash aggregate (partial
+    aggregation leaves one row per pair and task) instead of one aggregate
+    with six buffer fields per pair, which would be too wide for generated code.
+    """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if target:
         pairs += [(c, target) for c in cols if c != target]
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs]
-    wide = df.agg(*aggs)
-    names = [f"{a}|{b}" for a, b in pairs]
-    long_df = wide.unpivot([], [F.col(f"`{n}`") for n in names], "pair", "corr")
-    return long_df.select(F.split("pair", r"\|")[0].alias("col_a"), F.split("pair", r"\|")[1].alias("col_b"), "corr")
+    recs = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"),
+                              F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)])
+    per_pair = df.select(F.explode(recs).alias("r")).select("r.*") \
+        .groupBy("pair").agg(F.corr("x", "y").alias("corr"))
+    names_a = F.array(*[F.lit(a) for a, _ in pairs])
+    names_b = F.array(*[F.lit(b) for _, b in pairs])
+    return per_pair.select(F.element_at(names_a, F.col("pair") + 1).alias("col_a"),
+                           F.element_at(names_b, F.col("pair") + 1).alias("col_b"), "corr")
 
 
 def group_rates(df: DataFrame, keys: Sequence[str], label: str = "default") -> DataFrame:
