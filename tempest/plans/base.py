@@ -47,13 +47,16 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``label`` is the loan's default flag, ``p_a`` the scorecard PD and ``p_b``
     the second scorecard, both rounded to 3 decimals so that tied scores occur.
+    The narrow table is checkpointed once: every metric reads it several times
+    (counts, quantiles, subqueries), and none of them goes back to the join.
     """
+    from tempest.session import cut_lineage
     from pyspark.sql import functions as F
 
     from tempest.plans.catalog import fixed_round
 
     df = scoring.scorecard_pd(with_pd(spark, sf_dir), weights=SECOND_WEIGHTS,
                               intercept=SECOND_INTERCEPT, out="_pd_b")
-    return df.select(F.col("loan_id").alias("id"), F.col("default").alias("label"),
-                     fixed_round(F.col("Baseline_PD"), 3).alias("p_a"),
-                     fixed_round(F.col("_pd_b"), 3).alias("p_b"))
+    return cut_lineage(df.select(F.col("loan_id").alias("id"), F.col("default").alias("label"),
+                                 fixed_round(F.col("Baseline_PD"), 3).alias("p_a"),
+                                 fixed_round(F.col("_pd_b"), 3).alias("p_b")))
