@@ -42,6 +42,17 @@ def feature_stats(long_df: DataFrame, percentiles=STAT_PERCENTILES) -> DataFrame
                         *[F.col("_q")[i].alias(name) for i, (name, _) in enumerate(percentiles)], "max")
 
 
+def edges_at_or_below(edges: Column, v: Column, max_edges: int) -> Column:
+    """Number of edges <= v for an edge array of at most ``max_edges`` entries.
+
+    A fixed sum of comparisons (``try_element_at`` is NULL past the end), so it
+    stays in generated code, unlike a lambda over the array.
+    """
+    terms = [F.when(F.try_element_at(edges, F.lit(i + 1)) <= v, F.lit(1)).otherwise(F.lit(0))
+             for i in range(max_edges)]
+    return sum(terms[1:], terms[0])
+
+
 def psi(expected: DataFrame, actual: DataFrame, n_bins: int = config.PSI_BINS) -> DataFrame:
     """PSI per feature between two long-form samples.
 
@@ -79,7 +90,7 @@ def psi_with_counts(expected: DataFrame, actual: DataFrame, n_bins: int = config
         last = F.element_at(e, -1)
         idx = F.when(
             e.isNotNull() & (F.col("value") >= e[0]) & (F.col("value") <= last),
-            F.least(F.size(F.filter(e, lambda x: x <= F.col("value"))) - 1, F.size(e) - 2),
+            F.least(edges_at_or_below(e, F.col("value"), n_bins + 1) - 1, F.size(e) - 2),
         ).otherwise(F.lit(-1))
         return sample.join(edges.select("feature", "edges"), "feature") \
             .groupBy("feature", idx.alias("bin")).agg(F.count(F.lit(1)).alias(f"n_{side}"))

@@ -123,7 +123,8 @@ def reference_bins(stats: DataFrame, n_bins: int = config.PSI_BINS) -> DataFrame
     edges = e.where(k >= 2).select("feature", "n_ref", F.concat(
         F.array(F.col("e")[0] - C.lit_d(1e-8)), F.slice("e", 2, k - 2),
         F.array(F.element_at("e", -1) + C.lit_d(1e-8))).alias("edges"))
-    binned = ref.join(edges, "feature").select("feature", "n_ref", bin_index(F.col("value"), F.col("edges")).alias("bin"))
+    binned = ref.join(edges, "feature").select("feature", "n_ref",
+                                              bin_index(F.col("value"), F.col("edges"), n_bins + 1).alias("bin"))
     counts = binned.where(F.col("bin") >= 0).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
     all_bins = edges.select("feature", "n_ref", "edges", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
     return all_bins.join(counts, ["feature", "bin"], "left").select(
@@ -131,11 +132,11 @@ def reference_bins(stats: DataFrame, n_bins: int = config.PSI_BINS) -> DataFrame
         F.when(F.coalesce("n", F.lit(0)) == 0, C.lit_d(1e-4)).otherwise(F.col("n") / F.col("n_ref")).alias("e_share"))
 
 
-def bin_index(v, edges) -> F.Column:
+def bin_index(v, edges, max_edges: int = config.PSI_BINS + 1) -> F.Column:
     """Half-open bins with a closed last bin; outside the edges -> -1 (counted in totals only)."""
     last = F.element_at(edges, -1)
     inside = (v >= edges[0]) & (v <= last)
-    idx = F.least(F.size(F.filter(edges, lambda x: x <= v)) - 1, F.size(edges) - 2)
+    idx = F.least(drift.edges_at_or_below(edges, v, max_edges) - 1, F.size(edges) - 2)
     return F.when(inside, idx).otherwise(F.lit(-1))
 
 
