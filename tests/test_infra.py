@@ -54,3 +54,13 @@ def test_dimensions_bounded_and_local(spark):
     for d in (dims.state_dim(spark), dims.sector_dim(spark), dims.org_sector_dim(spark), dims.scenario_dim(spark)):
         assert d.count() <= dims.MAX_DIM_ROWS
     assert dims.state_dim(spark).where("state_key = 'OTHER'").first().physical_risk == 0.45
+
+
+def test_upload_sinks_agree_and_summary_matches(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    rows = E.queries()["batch_upload_rows"](spark, SF_SMALL)
+    assert rows.count() > 0 and rows.where("NOT same").count() == 0
+    summary = E.queries()["batch_upload_summary"](spark, SF_SMALL).first()
+    tiers = summary.n_low + summary.n_medium + summary.n_high + summary.n_critical
+    assert summary.n_scored <= summary.n_input and tiers == summary.n_scored
