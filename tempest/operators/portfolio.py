@@ -199,7 +199,13 @@ def seeded_sample(df: DataFrame, n: int, key: str = "loan_id", seed: int = confi
 
 
 def histogram(df: DataFrame, value: str, bins: int, group: str | None = None) -> DataFrame:
-    """Fixed-width histogram; bin width from the column's min/max (scalar subquery)."""
+    """Fixed-width histogram; bin width from the column's min/max (scalar subquery).
+
+    The column is read twice (extent, then bins), so its narrow projection is
+    checkpointed once instead of recomputing the upstream pipeline twice.
+    """
+    from tempest.session import cut_lineage
+    df = cut_lineage(df.select(value, *([group] if group else [])))
     ext = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).select(
         F.struct("lo", "hi").alias("e")).scalar()
     lo, hi = ext.getField("lo"), ext.getField("hi")
