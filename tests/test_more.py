@@ -147,3 +147,19 @@ def test_entry_and_registry(spark):
 def test_queries_run_on_smallest_scale(spark, name):
     import __spark_entry__ as E
     assert E.queries()[name](spark, SF_SMALL).count() > 0
+
+
+def test_climate_json_source_maps_to_long_form(spark, tmp_path):
+    """Two month -> value maps per location, read with a MapType schema and exploded; -999 dropped later."""
+    import json
+    path = tmp_path / "climate.json"
+    rec = {"lat": 27.64, "lon": -81.52, SC.T2M: {"201001": 15.0, "201002": -999.0, "201013": 9.0},
+           SC.PRECIP: {"201001": 2.5, "201002": 3.0}}
+    path.write_text(json.dumps(rec) + "\n")
+    obs = SC.read_climate_json(spark, str(path))
+    rows = {(r.variable, r.month): r.value for r in obs.collect()}
+    assert rows[(SC.T2M, "201001")] == 15.0 and rows[(SC.PRECIP, "201002")] == 3.0
+    assert {r.loc_key for r in obs.collect()} == {"27.6_-81.5"}
+    valid = CL.valid_observations(obs)
+    # the sentinel and the annual pseudo-month 13 are not valid observations
+    assert valid.count() == 3
