@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,29 +40,52 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.driver.extraJavaOptions", os.environ.get("TEMPEST_DRIVER_JAVA_OPTS", "-XX:-DontCompileHugeMethods"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tempest-wh-"))
     )
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    # Tests have no shared folder: only here do we choose one ourselves.
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tempest-ckpt-"))
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local["):
         # single-machine session (tests, checks): no shared folder exists, so choose one here
-        d = tempfile.mkdtemp(prefix="tempest-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        return d
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="tempest-ckpt-")
+        return _LOCAL_DIRS[app]
     raise RuntimeError("spark.checkpoint.dir is not set; a cluster session must name a shared folder")
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, deleted when the session's JVM ends.
+
+    Results of a query stay lazy and read what lies here, so the folder has to outlive the call.
+    """
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop)
+    fs.deleteOnExit(hadoop)
+    return path
+
+
+def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below ``folder`` and read it back: the lineage is cut, every
+    later use reads the same rows, and a lost executor costs only its own tasks."""
+    path = f"{folder}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint folder.
 
