@@ -21,11 +21,11 @@ columns of the input are not read.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempest.llm.batches import settings
 from tempest.llm.text import sha256_hex, whole
 from tempest.session import materialise, run_folder
 
@@ -39,18 +39,6 @@ STATE_CONF = {
 }
 
 
-@contextmanager
-def _conf(spark: SparkSession, settings: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def sha256_digest(text: Column) -> Column:
     return F.unhex(sha256_hex(text))
 
@@ -75,7 +63,7 @@ def build_state(spark: SparkSession, path: str, folder: str, digest: Callable[[C
         F.struct(F.col("doc_id").alias("id"), _locator().alias("at")).alias("row"))
     state = seen.groupBy("digest").agg(F.max("row").alias("keep"), F.count(F.lit(1)).alias("n"))
     at = f"{folder}/state"
-    with _conf(spark, STATE_CONF):
+    with settings(spark, STATE_CONF):
         # what the stream leaves is its state; the updates themselves need no sink
         q = (state.writeStream.outputMode("update").format("noop").option("checkpointLocation", at)
              .trigger(availableNow=True).start())
