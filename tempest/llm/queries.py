@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempest.llm import exactdedup, linededup, mixing, warc
+from tempest.llm import exactdedup, linededup, mixing, ngramjoin, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,6 +53,33 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op8_ngram_join(spark, sf_dir):
+    return ngramjoin.linked(table(spark, sf_dir, "documents"))
+
+
+# Exact: every pair that shares a 5-gram.  The query's bands miss a pair at the threshold once in ten thousand.
+SQL["op8_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+at AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM at),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 5 * i >= 4 * (na.n + nb.n - i)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
+degree AS (SELECT a, count(*) AS n_links FROM sides GROUP BY a)
+SELECT reach.a AS doc_id, min(reach.b) AS class_id, count(*) AS class_size, coalesce(any_value(n_links), 0) AS n_links
+FROM reach LEFT JOIN degree ON degree.a = reach.a GROUP BY reach.a
+"""
+
+
 @query
 def op9_line_dedup(spark, sf_dir):
     return linededup.line_report(table(spark, sf_dir, "documents"))
