@@ -37,10 +37,6 @@ def split_lines(text):
     return F.split(whole(text), "\n", -1)
 
 
-def line_key(line):
-    return lower_ascii(F.btrim(line, F.lit(WHITE)))
-
-
 def doc_mark(text):
     """Tells texts of the same id apart."""
     return F.xxhash64(whole(text))
@@ -48,10 +44,12 @@ def doc_mark(text):
 
 def key_positions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per (key hash, document): h1, h2, doc_id, mark, positions."""
-    lines = docs.select("doc_id", doc_mark(F.col("text")).alias("mark"),
-                        F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
-    keys = (lines.select("doc_id", "mark", "pos", line_key(F.col("line")).alias("key"))
-            .where(F.char_length("key") >= min_chars)
+    # the mark is made before the lines are dealt out: the text itself stays behind
+    texts = docs.select("doc_id", doc_mark(F.col("text")).alias("mark"), split_lines(F.col("text")).alias("lines"))
+    lines = texts.select("doc_id", "mark", F.posexplode("lines").alias("pos", "line"))
+    line = F.btrim(F.col("line"), F.lit(WHITE))
+    keys = (lines.select("doc_id", "mark", "pos", line.alias("line")).where(F.char_length("line") >= min_chars)
+            .select("doc_id", "mark", "pos", lower_ascii(F.col("line")).alias("key"))
             .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "mark", "pos"))
     # rows that repeat a document give each position twice: a set keeps one
     return keys.groupBy("h1", "h2", "doc_id", "mark").agg(F.collect_set("pos").alias("positions"))
