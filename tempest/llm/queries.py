@@ -62,8 +62,8 @@ def op8_ngram_join(spark, sf_dir):
 SQL["op8_ngram_join"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
-at AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w),
-g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM at),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM starts),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
