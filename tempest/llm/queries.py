@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tempest.llm import exactdedup, linededup, mixing, ngramjoin, warc
+from tempest.llm import exactdedup, fertility, linededup, mixing, ngramjoin, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,6 +54,12 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op5_tokeniser_fertility(spark, sf_dir):
+    return fertility.judged(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                            public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 @query
 def op8_ngram_join(spark, sf_dir):
     return ngramjoin.linked(table(spark, sf_dir, "documents"))
