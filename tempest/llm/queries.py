@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tempest.llm import bytebpe, exactdedup, fertility, linededup, mixing, ngramjoin, warc
+from tempest.llm import bytebpe, exactdedup, fertility, linededup, mixing, ngramjoin, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,6 +60,11 @@ def op5_tokeniser_fertility(spark, sf_dir):
                             public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
+@query
+def op6_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_byte_bpe(spark, sf_dir):
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
