@@ -36,6 +36,8 @@ STATE_CONF = {
     # RocksDB works outside the heap: one bound for all the stores of an executor
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # a store is small next to the megabytes that RocksDB would set aside for its logs
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
