@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tempest.llm import bytebpe, exactdedup, fertility, htmltext, linededup, mixing, ngramjoin, toxicity, warc
+from tempest.llm import bytebpe, exactdedup, fertility, htmltext, linededup, mixing, ngramjoin, roles, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,6 +54,11 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op3_role_repair(spark, sf_dir):
+    return roles.repair(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op4_line_blocks(spark, sf_dir):
     return htmltext.main_text(table(spark, sf_dir, "pages"))
