@@ -94,7 +94,8 @@ def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = s
     text = whole(F.col("text"))
     rows = (spark.read.parquet(path)
             .select("doc_id", _locator().alias("at"), digest(text).alias("digest"), sha256_hex(text).alias("text_sha256"), text.alias("text"))
-            .join(hit, F.col("digest") == F.col("hit_digest"), "left"))
+            # the same plan at every size: the digests that were hit grow with the documents
+            .join(hit.hint("merge"), F.col("digest") == F.col("hit_digest"), "left"))
     is_hit = F.col("hit_digest").isNotNull()
     rows = materialise(rows.select("doc_id", "at", "digest", "text_sha256", F.when(is_hit, F.col("keep_at")).alias("keep_at"),
                                    F.when(is_hit, F.col("text")).alias("text")), folder, "rows")
