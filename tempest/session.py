@@ -75,7 +75,7 @@ def run_folder(spark: SparkSession, name: str) -> str:
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop)
     fs.deleteOnExit(hadoop)
-    return path
+    return fs.makeQualified(hadoop).toString()  # with its scheme, for readers outside the JVM too
 
 
 def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
