@@ -24,6 +24,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tempest.llm.batches import settings
 from tempest.llm.text import sha256_hex, whole
@@ -35,9 +36,12 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # RocksDB works outside the heap: one bound for all the stores of an executor
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     # a store is small next to the megabytes that RocksDB would set aside for its logs
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # an executor holds only the stores of its running tasks, not all it has ever had
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
@@ -64,19 +68,28 @@ def build_state(spark: SparkSession, path: str, folder: str, digest: Callable[[C
         digest(whole(F.col("text"))).alias("digest"),
         F.struct(F.col("doc_id").alias("id"), _locator().alias("at")).alias("row"))
     state = seen.groupBy("digest").agg(F.max("row").alias("keep"), F.count(F.lit(1)).alias("n"))
-    at = f"{folder}/state"
+    changed = f"{folder}/changed"
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in state.schema])
+
+    def keep_changes(batch: DataFrame, number: int) -> None:
+        # a batch that runs again writes its own folder again
+        batch.write.mode("overwrite").parquet(f"{changed}/batch={number}")
+
     with settings(spark, STATE_CONF):
-        # what the stream leaves is its state; the updates themselves need no sink
-        q = (state.writeStream.outputMode("update").format("noop").option("checkpointLocation", at)
-             .trigger(availableNow=True).start())
+        q = (state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state")
+             .trigger(availableNow=True).foreachBatch(keep_changes).start())
         q.awaitTermination()
-        if not q.recentProgress:
-            return spark.createDataFrame([], state.schema)
-        held = spark.read.format("statestore").load(at)
-        # the state's value has one field per aggregate, in the order above
-        keep, n = held.schema["value"].dataType.names
-        return materialise(held.select("key.digest", F.col(f"value.{keep}").alias("keep"), F.col(f"value.{n}").alias("n")),
-                           folder, "held")
+    if not _exists(spark, changed):
+        return spark.createDataFrame([], schema)
+    # the last update of a digest is its state
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(changed)
+    last = rows.groupBy("digest").agg(F.max(F.struct("batch", "keep", "n")).alias("s"))
+    return last.select("digest", F.col("s.keep").alias("keep"), F.col("s.n").alias("n"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256_digest,
