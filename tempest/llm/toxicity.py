@@ -53,6 +53,7 @@ PREFIXES = (4, 5, 6)
 SOFT = 0.05
 BINS = 20
 BLOCK = 64
+FIRST_BLOCKS = 8
 EVIDENCE = 5
 PRIOR = (0.5, 2.0)  # toxic examples and examples that a share starts from
 _CACHE = 1 << 19
@@ -192,13 +193,25 @@ class BlockMaxIndex:
             t = np.array(vectors[i][0], np.int64)
             for term, w in zip(t, weights(t, np.array(vectors[i][1], float), idf), strict=True):
                 posts[term].append((p, w))
-        #: by term: examples, weights, blocks, first posting of each block (and the end), largest weight
+        #: by term: examples, weights, their blocks; blocks and the largest weight in each
         self.posts = []
         for rows in posts:
             at = np.array([r[0] for r in rows], np.int64)
             w = np.array([r[1] for r in rows], float)
             b, first = np.unique(at // block, return_index=True)
-            self.posts.append((at, w, b, np.append(first, len(at)), np.maximum.reduceat(w, first) if len(w) else w))
+            self.posts.append((at, w, at // block, b, np.maximum.reduceat(w, first) if len(w) else w))
+
+    def _best(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the examples in the marked blocks that share a term."""
+        score = np.zeros(len(self.ids))
+        for term, w in zip(terms, q, strict=True):
+            at, weight, of, _, _ = self.posts[term]
+            s = blocks[of]
+            score[at[s]] += w * weight[s]
+        if skip >= 0:
+            score[skip] = 0
+        found = np.flatnonzero(score)
+        return found, score[found]
 
     def search(self, terms: list[int], counts: list[int], k: int = K, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k best examples with a common term; ties go to the earlier place."""
@@ -206,27 +219,25 @@ class BlockMaxIndex:
         q = weights(t, np.array(counts, float), self.idf)
         bound = np.zeros(self.blocks)
         for term, w in zip(t, q, strict=True):
-            _, _, b, _, most = self.posts[term]
+            _, _, _, b, most = self.posts[term]
             bound[b] += w * most
-        order = np.argsort(-bound, kind="stable")
         skip = self.place.get(without, -1)
-        at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1] - 1e-9):
-                break
-            lo, score = b * self.block, np.zeros(self.block)
-            for term, w in zip(t, q, strict=True):
-                ex, ew, blocks, first, _ = self.posts[term]
-                i = np.searchsorted(blocks, b)
-                if i < len(blocks) and blocks[i] == b:
-                    s = slice(first[i], first[i + 1])
-                    score[ex[s] - lo] += w * ew[s]
-            found = np.flatnonzero(score > 0)
-            found = found[found + lo != skip]
-            at, best = np.concatenate([at, found + lo]), np.concatenate([best, score[found]])
+        at, best, done, most = np.zeros(0, np.int64), np.zeros(0), np.zeros(self.blocks, bool), FIRST_BLOCKS
+        while True:
+            # the most promising blocks, then all that can still hold a better example
+            least = best[-1] - 1e-9 if len(best) == k else 0.0
+            open_blocks = np.flatnonzero(~done & (bound > 0) & (bound >= least))
+            if not len(open_blocks):
+                return at, best
+            if len(open_blocks) > most:
+                open_blocks = open_blocks[np.argpartition(-bound[open_blocks], most - 1)[:most]]
+            mark = np.zeros(self.blocks, bool)
+            mark[open_blocks] = True
+            done |= mark
+            found, score = self._best(t, q, mark, skip)
+            at, best = np.concatenate([at, found]), np.concatenate([best, score])
             top = np.lexsort((at, -np.round(best, 9)))[:k]
-            at, best = at[top], best[top]
-        return at, best
+            at, best, most = at[top], best[top], 4 * most
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float | None:
         if not len(at):
