@@ -32,7 +32,7 @@ from tempest.llm.text import whole
 from tempest.session import run_folder
 
 OUTPUT = "token_ids"
-_CACHE = 1 << 18
+_CACHE = 1 << 19
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 _MULT = 0xBF58476D1CE4E5B9
@@ -108,6 +108,18 @@ class PerfectHash:
 
 # ------------------------------------------------------------------ both tiers
 
+class _Known(dict):
+    """Pre-token to its ids, found when first asked for."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self[text] = self.find(text)
+        return ids
+
+
 class Codec:
     """Encoder and decoder over the broadcast tables."""
 
@@ -128,7 +140,7 @@ class Codec:
                 left, right = number.get(t[:cut]), number.get(t[cut:])
                 if left is not None and right is not None:
                     self.merged[left << 32 | right] = i
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self.pre_token)
 
     def pre_token(self, text: str) -> tuple[int, ...]:
         data = text.encode("utf-8")
@@ -136,35 +148,41 @@ class Codec:
         return (i,) if self.tokens[i] == data else self.merge(data)
 
     def merge(self, data: bytes) -> tuple[int, ...]:
+        get = self.merged.get
         part = [self.byte[b] for b in data]
-        n, merged = len(part), self.merged
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := merged.get(part[i] << 32 | part[i + 1])) is not None]
+        n = len(part)
+        # what each part merges to with the next one, -1: nothing; tells entries of earlier states
+        pair = [get(a << 32 | b, -1) for a, b in zip(part, part[1:], strict=False)]
+        heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
+        pair.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i]
-            # the entry is of an earlier state if the pair here is gone or another
-            if j >= n or part[i] < 0 or merged.get(part[i] << 32 | part[j]) != rank:
+            entry = heapq.heappop(heap)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
+            if pair[i] != rank:
                 continue
-            part[i], part[j] = rank, -1
+            j = after[i]
             k = after[i] = after[j]
+            part[i], part[j], pair[j] = rank, -1, -1
             if k < n:
                 before[k] = i
-                if (r := merged.get(rank << 32 | part[k])) is not None:
-                    heapq.heappush(heap, (r, i))
-            if (h := before[i]) >= 0 and (r := merged.get(part[h] << 32 | rank)) is not None:
-                heapq.heappush(heap, (r, h))
-        return tuple(p for p in part if p >= 0)
+                r = pair[i] = get(rank << 32 | part[k], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << 32 | i)
+            else:
+                pair[i] = -1
+            h = before[i]
+            if h >= 0:
+                r = pair[h] = get(part[h] << 32 | rank, -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << 32 | h)
+        return tuple([p for p in part if p >= 0])
 
     def encode(self, text: str) -> list[int]:
         if len(self.known) > _CACHE:
             self.known.clear()
-        found, known = self.find(text), self.known
-        for t in found:
-            if t not in known:
-                known[t] = self.pre_token(t)
-        return list(chain.from_iterable(map(known.__getitem__, found)))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.find(text))))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
