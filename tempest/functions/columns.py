@@ -153,15 +153,3 @@ def fixed_round_col(c, d: int) -> Column:
     scale = float(10 ** d)
     return (F.floor(col_(c) * scale + 0.5) / scale).cast("double")
 
-
-def quantile(c, q) -> Column:
-    """Percentile(s) ``q`` (a float or a list) of a column: exact by default, else the approximate sketch.
-
-    See ``config.EXACT_QUANTILES``: exact keeps a value-count map per group (the
-    method's numbers); approximate keeps a bounded sketch for very large
-    continuous columns.
-    """
-    qs = F.array(*[lit_d(x) for x in q]) if isinstance(q, (list, tuple)) else lit_d(q)
-    if config.EXACT_QUANTILES:
-        return F.percentile(col_(c), qs)
-    return F.percentile_approx(col_(c), qs, config.APPROX_QUANTILE_ACCURACY)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tempest import config
 from tempest.functions import columns as C
+from tempest.operators import quantiles as Q
 from tempest.sources import adapters as src
 from tempest.sources import dims
 
@@ -77,7 +78,7 @@ def adapt_indian_bank(df: DataFrame, id_col: str = "ID") -> DataFrame:
     emi = F.col("Existing_EMI").cast("double")
     amount = F.col("Loan_Amount_Applied").cast("double")
     tenure_months = F.col("Loan_Tenure_Applied").cast("double") * C.lit_d(12.0)
-    med = df.agg(C.quantile(income, 0.5)).scalar()
+    med = Q.quantile(df, income, 0.5)
     purpose = F.lit("small_business")
     if "Source_0" in df.columns:
         s1 = F.col("Source_1") == 1 if "Source_1" in df.columns else F.lit(False)

@@ -69,6 +69,8 @@ def write_results(scored: DataFrame, summary: DataFrame, out_dir: str) -> None:
 def export_scenarios(scored_by_scenario: DataFrame, out_dir: str) -> None:
     """S10 re-aimed: loan level, portfolio summary and risk distribution, one table each, by scenario."""
     scored_by_scenario.write.mode("overwrite").partitionBy("scenario").parquet(f"{out_dir}/loan_level")
+    # scored once: the other two tables come from the one written
+    scored_by_scenario = scored_by_scenario.sparkSession.read.schema(scored_by_scenario.schema).parquet(f"{out_dir}/loan_level")
     summary = scored_by_scenario.groupBy("scenario").agg(
         F.count(F.lit(1)).alias("n_loans"), F.avg("Baseline_PD").alias("avg_baseline_pd"),
         F.avg("CPD").alias("avg_cpd"), F.avg("PD_Uplift_Pct").alias("avg_pd_uplift_pct"),

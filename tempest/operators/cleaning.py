@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tempest import config
 from tempest.functions import columns as C
+from tempest.operators import quantiles as Q
 
 PASSTHROUGH = ["loan_id", "home_ownership", "purpose", "addr_state", "loan_status"]
 
@@ -99,13 +100,8 @@ def default_fill(df: DataFrame) -> DataFrame:
 
 
 def medians_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One-row frame of exact batch medians (pandas ``median``: mean of the two middle values).
-
-    ``percentile`` partially aggregates value counts map-side; its buffer grows
-    with the number of *distinct* values, which is small for loan features
-    (rates, ratios on a grid, integer scores).
-    """
-    return df.agg(*[C.quantile(c, 0.5).alias(c) for c in cols])
+    """One-row frame of exact batch medians (pandas ``median``: mean of the two middle values)."""
+    return Q.column_quantiles(df, cols, 0.5)
 
 
 def median_impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -150,8 +146,15 @@ RANGE_RULES: list[tuple[str, float | None, float | None, bool]] = [
     ("mort_acc", 0.0, None, False),
     ("total_bc_limit", 0.0, None, False),
     ("total_rev_hi_lim", 0.0, None, False),
+    ("mo_sin_rcnt_tl", 0.0, None, False),
+    ("mo_sin_old_rev_tl_op", 0.0, None, False),
+    ("num_actv_rev_tl", 0.0, None, False),
     ("percent_bc_gt_75", 0.0, 100.0, False),
     ("bc_util", 0.0, None, False),
+    ("mths_since_recent_inq", 0.0, None, False),
+    # per-request overlay factors
+    ("severity_factor", 0.0, 1.0, False),
+    ("transition_scaling", 0.0, 1.0, False),
 ]
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tempest import config
 from tempest.functions import columns as C
+from tempest.operators import quantiles as Q
+from tempest.session import cut_lineage
 
 STAT_PERCENTILES = [("p10", 0.10), ("p25", 0.25), ("p50", 0.50), ("p75", 0.75), ("p90", 0.90)]
 
@@ -35,9 +37,8 @@ def feature_stats(long_df: DataFrame, percentiles=STAT_PERCENTILES) -> DataFrame
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
-        C.quantile("value", probs).alias("_q"),
         F.max("value").alias("max"),
-    )
+    ).join(Q.quantiles(long_df, "value", probs, ["feature"], "_q"), "feature")
     return stats.select("feature", "count", "mean", "std", "min",
                         *[F.col("_q")[i].alias(name) for i, (name, _) in enumerate(percentiles)], "max")
 
@@ -72,18 +73,17 @@ def psi_with_counts(expected: DataFrame, actual: DataFrame, n_bins: int = config
     bin -1; totals and presence come from that small table.
     """
     probs = [i / n_bins for i in range(n_bins + 1)]
-    edges = expected.groupBy("feature").agg(
-        F.array_sort(F.array_distinct(C.quantile("value", probs))).alias("e"),
-        F.count(F.lit(1)).alias("n_expected"),
-    )
+    edges = (Q.quantiles(expected, "value", probs, ["feature"])
+             .join(expected.groupBy("feature").agg(F.count(F.lit(1)).alias("n_expected")), "feature")
+             .select("feature", F.array_sort(F.array_distinct("q")).alias("e"), "n_expected"))
     k = F.size("e")
     widened = F.when(k >= 2, F.concat(
         F.array(F.col("e")[0] - C.lit_d(1e-8)),
         F.slice("e", 2, F.greatest(k - 2, F.lit(0))),
         F.array(F.element_at("e", -1) + C.lit_d(1e-8)),
     ))
-    # one row per feature: bounded by the number of features
-    edges = F.broadcast(edges.select("feature", "n_expected", widened.alias("edges")))
+    # one row per feature: bounded by the number of features; read five times below
+    edges = F.broadcast(cut_lineage(edges.select("feature", "n_expected", widened.alias("edges"))))
 
     def binned(sample: DataFrame, side: str) -> DataFrame:
         e = F.col("edges")
@@ -180,30 +180,20 @@ def correlations(df: DataFrame, cols: Sequence[str], target: str | None = None)
 
 def group_rates(df: DataFrame, keys: Sequence[str], label: str = "default") -> DataFrame:
     """Per key value: count and default rate (missing keys dropped)."""
-    parts = []
-    for k in keys:
-        parts.append(df.where(F.col(k).isNotNull()).groupBy(F.col(k).cast("string").alias("group_value")).agg(
-            F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("default_rate"),
-        ).withColumn("dimension", F.lit(k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    long_df = df.select(F.col(label).cast("double").alias("_y"), *[F.col(k).cast("string").alias(k) for k in keys]) \
+        .unpivot(["_y"], list(keys), "dimension", "group_value").where(F.col("group_value").isNotNull())
+    return long_df.groupBy("dimension", "group_value").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("default_rate")) \
+        .select("group_value", "n", "default_rate", "dimension")
 
 
 def five_numbers(df: DataFrame, value: str, by: str) -> DataFrame:
     """Min, quartiles, max per class."""
-    return df.where(F.col(value).isNotNull()).groupBy(by).agg(
-        F.min(value).alias("min"),
-        C.quantile(value, 0.25).alias("q1"),
-        C.quantile(value, 0.5).alias("median"),
-        C.quantile(value, 0.75).alias("q3"),
-        F.max(value).alias("max"),
-    )
+    q = Q.quantiles(df, value, [0.0, 0.25, 0.5, 0.75, 1.0], [by])
+    return q.select(by, *[F.col("q")[i].alias(name) for i, name in enumerate(("min", "q1", "median", "q3", "max"))])
 
 
 def clip_at_percentile(df: DataFrame, value: str, q: float = 0.99, out: str | None = None) -> DataFrame:
     """Clip a column at its q-th percentile (scalar subquery + null-safe clip)."""
-    cap = df.agg(C.quantile(value, q)).scalar()
+    cap = Q.quantile(df, value, q)
     x = F.col(value)
     return df.withColumn(out or value, F.when(x.isNull(), x).otherwise(F.least(x, cap)))

@@ -6,8 +6,7 @@
   (scoring never recomputes batch medians).
 * Class imbalance: ``weightCol`` with neg/pos on positives (boosted trees) or
   'balanced' weights n / (2 n_c) (logistic regression, random forest).
-* Boosted trees stop early on the held-out rows (``validationIndicatorCol``),
-  with the configured iterations as the upper bound.
+* Boosted trees run all their iterations; no row outside the training split takes part.
 * All scoring is ``PipelineModel.transform`` plus ``vector_to_array`` -- no
   Python in the row path.
 """
@@ -24,22 +23,32 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempest import config
 from tempest.functions import columns as C
 from tempest.operators import cleaning, evaluate as E
+from tempest.session import cut_lineage, materialise, run_folder
 
 FEATURES = list(config.ALL_FEATURES)
 
 
+def feature_set(df: DataFrame, include_climate: bool = True) -> list[str]:
+    """The 48 columns with climate if ``df`` has all climate columns (and they are wanted), else the 38."""
+    has = all(c in df.columns for c in config.CLIMATE_FEATURES)
+    return list(config.ALL_FEATURES_CLIMATE if include_climate and has else config.ALL_FEATURES)
+
+
 def model_frame(clean: DataFrame, features: Sequence[str] = FEATURES, id_col: str = "loan_id",
                 label: str = "default") -> DataFrame:
     """(id, label, features as DOUBLE) with the stratified split column (M1)."""
     base = clean.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"),
                         *[F.col(f).cast("double").alias(f) for f in features])
-    return E.stratified_split(base, "label", "id")
+    # written once: the split reads only id and label, several times
+    base = materialise(base, run_folder(clean.sparkSession, "model-frame"), "rows")
+    split = E.stratified_split(base.select("id", "label"), "label", "id").select("id", "split")
+    return base.join(split, "id")
 
 
 def imputer_stage(train: DataFrame, features: Sequence[str]) -> SQLTransformer:
@@ -66,23 +75,17 @@ def weighted(df: DataFrame, mode: str) -> DataFrame:
 
 def gbt(max_iter: int = config.GBT_PARAMS["maxIter"], max_depth: int = config.GBT_PARAMS["maxDepth"],
         step: float = config.GBT_PARAMS["stepSize"], **kw) -> GBTClassifier:
-    """M3: boosted trees (upper bound on iterations; early stop on the validation rows)."""
+    """M3: boosted trees, all iterations."""
     return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter,
-                         maxDepth=max_depth, stepSize=step, seed=config.RANDOM_STATE,
-                         validationIndicatorCol="is_val", **kw)
+                         maxDepth=max_depth, stepSize=step, seed=config.RANDOM_STATE, **kw)
 
 
 def fit(mf: DataFrame, kind: str = "gbt", features: Sequence[str] = FEATURES, **params) -> PipelineModel:
-    """Fit one of 'gbt' (M3), 'lr' (M4), 'rf' (M5) on the training split.
-
-    For 'gbt' the test rows ride along flagged ``is_val`` and serve only the
-    early-stopping check, as the method evaluates on its test set while fitting.
-    """
+    """Fit one of 'gbt' (M3), 'lr' (M4), 'rf' (M5) on the training split."""
     train = mf.where(F.col("split") == "train")
     stages = [imputer_stage(train, features), _assembler(features, "raw_features" if kind == "lr" else "features")]
     if kind == "gbt":
-        data = weighted(mf.where(F.col("split").isin("train", "test")), "pos") \
-            .withColumn("is_val", F.col("split") == "test")
+        data = weighted(train, "pos")
         stages.append(gbt(**params))
     elif kind == "lr":
         data = weighted(train, "balanced")
@@ -122,21 +125,19 @@ def calibrated_scores(model: PipelineModel, iso, df: DataFrame) -> DataFrame:
     return iso.transform(score(model, df, "p_raw"))
 
 
+def with_folds(train: DataFrame, folds: int, seed: int) -> DataFrame:
+    """Stratified folds: the rank of a row within its class, in a seeded order, mod ``folds``."""
+    pairs = train.select("id", "label", E.split_hash("id", seed).alias("_h"), F.lit(1).alias("_one"))
+    keyed = E.prefix_sums(pairs, "_h", ["_one"], partition_cols=["label"], tie_col="id")
+    fold = keyed.select("id", (F.col("_one_before") % folds).cast("int").alias("fold"))
+    return cut_lineage(train.join(fold, "id"))
+
+
 def cv_auc(mf: DataFrame, kind: str = "gbt", folds: int = config.CV_FOLDS, parallelism: int = 2,
            **params) -> DataFrame:
-    """M7: k-fold AUC on the training rows, folds stratified (rank within class mod k).
-
-    Boosted trees stop early as in the main fit: inside every training fold a
-    fixed, seeded tenth of the rows (``is_val``) only checks the validation
-    loss; the configured iterations stay the upper bound.  The held-out fold
-    is scored as usual.
-    """
+    """M7: k-fold AUC on the training rows, folds stratified (rank within class mod k)."""
     train = mf.where(F.col("split") == "train")
-    keyed = E.prefix_sums(train.withColumn("_h", E.split_hash("id", config.RANDOM_STATE + 1))
-                          .withColumn("_one", F.lit(1)), "_h", ["_one"], partition_cols=["label"], tie_col="id")
-    data = weighted(keyed.withColumn("fold", (F.col("_one_before") % folds).cast("int"))
-                    .withColumn("split", F.lit("train")), "pos" if kind == "gbt" else "balanced") \
-        .withColumn("is_val", (E.split_hash("id", config.RANDOM_STATE + 2) % 10) == 0)
+    data = weighted(with_folds(train, folds, config.RANDOM_STATE + 1), "pos" if kind == "gbt" else "balanced")
     stages = [imputer_stage(train, FEATURES), _assembler(FEATURES)]
     if kind == "gbt":
         est = gbt(max_iter=params.get("maxIter", config.GBT_PARAMS["maxIter"]),
@@ -186,35 +187,28 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequ
                            repeats: int = 10, seed: int = config.RANDOM_STATE) -> DataFrame:
     """Mean and std of the AUC drop when one feature is shuffled, ``repeats`` times per feature.
 
-    All features and repeats run in one plan: the test rows are fanned out to
-    (feature, repeat) copies; inside each copy the feature's value is taken
-    from the row at the same position in a second seeded order (positions are
-    distributed prefix counts per copy).  One ``transform`` rescores all
-    copies, and the AUC per copy comes from per-copy score counts.
+    One permutation of the rows per repeat serves all features: row k (in the order of ids) gets its
+    donor, the row at place k of a seeded order.  Only (repeat, id, donor) is shuffled for that; the
+    donor's row is joined once per repeat and the features fan out after the join.
     """
     base = score(model, test, "p")
     base_auc = E.auc(base.select("label", F.col("p").alias("score"))).select(F.col("auc").alias("base_auc"))
-    copies = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                                 for f in features for r in range(repeats)])).alias("c")
-    fan = test.select("*", copies).select("*", "c.*").drop("c")
-    key = F.concat_ws("|", F.col("feature"), F.col("rep").cast("string"), F.col("id").cast("string"))
-    h1 = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"a{seed}"))), 1, 15), 16, 10).cast("long")
-    h2 = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"b{seed}"))), 1, 15), 16, 10).cast("long")
-    one = F.lit(1)
-    pos_a = E.prefix_sums(fan.withColumn("_h", h1).withColumn("_one", one), "_h", ["_one"],
-                          partition_cols=["feature", "rep"], tie_col="id").withColumnRenamed("_one_before", "pos")
-    donor_val = F.coalesce(*[F.when(F.col("feature") == f, F.col(f)) for f in features])
-    donors = E.prefix_sums(fan.select("feature", "rep", "id", donor_val.alias("donor_value"))
-                           .withColumn("_h", h2).withColumn("_one", one), "_h", ["_one"],
-                           partition_cols=["feature", "rep"], tie_col="id") \
-        .select("feature", "rep", F.col("_one_before").alias("pos"), "donor_value")
-    shuffled = pos_a.join(donors, ["feature", "rep", "pos"], "inner")
-    shuffled = shuffled.select(*[c for c in test.columns if c not in features], "feature", "rep",
-                               *[F.when(F.col("feature") == f, F.col("donor_value")).otherwise(F.col(f)).alias(f)
-                                 for f in features])
+    ids = cut_lineage(test.select("id"))
+    one = F.lit(1).alias("_one")
+    place = E.prefix_sums(ids.select("id", one), "id", ["_one"]).select("id", F.col("_one_before").alias("pos"))
+    key = F.concat_ws("|", F.col("rep").cast("string"), F.col("id").cast("string"), F.lit(str(seed)))
+    reps = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
+    order = reps.select("rep", "id", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("_h"), one)
+    donors = E.prefix_sums(order, "_h", ["_one"], partition_cols=["rep"], tie_col="id") \
+        .select("rep", F.col("id").alias("donor_id"), F.col("_one_before").alias("pos"))
+    donor_row = test.select(F.col("id").alias("donor_id"), *[F.col(f).alias(f"_d_{f}") for f in features])
+    wide = place.join(donors, "pos").join(test, "id").join(donor_row, "donor_id")
+    fan = wide.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    shuffled = fan.select(*[c for c in test.columns if c not in features], "feature", "rep",
+                          *[F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features])
     rescored = score(model, shuffled, "p")
-    sc = rescored.groupBy("feature", "rep", F.col("p").alias("score")).agg(
-        F.sum(F.col("label")).alias("n_pos"), F.sum(1 - F.col("label")).alias("n_neg"))
+    sc = cut_lineage(rescored.groupBy("feature", "rep", F.col("p").alias("score")).agg(
+        F.sum(F.col("label")).alias("n_pos"), F.sum(1 - F.col("label")).alias("n_neg")))
     pre = E.prefix_sums(sc, "score", ["n_pos", "n_neg"], partition_cols=["feature", "rep"])
     per_copy = pre.groupBy("feature", "rep").agg(
         (F.sum(F.col("n_pos") * (F.col("n_neg_before") + F.col("n_neg") * 0.5))
@@ -239,9 +233,16 @@ def linear_attribution(model: PipelineModel, df: DataFrame, top: int = 12,
                                  ((F.col(f"{f}__i") - float(mean[i])) / (float(std[i]) if std[i] else 1.0)
                                   * float(coef[i])).alias("contribution"))
                         for i, f in enumerate(features)])
-    long_df = imputed.select("id", F.explode(contrib).alias("c")).select("id", "c.*")
-    w = Window.partitionBy("id").orderBy(F.abs("contribution").desc(), "feature")
-    return long_df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return _ranked(imputed.select("id", contrib.alias("c")), top)
+
+
+def _ranked(rows: DataFrame, top: int) -> DataFrame:
+    """(id, c: array of feature and contribution) to the ``top`` largest in size, with their rank: no shuffle."""
+    order = F.transform("c", lambda x: F.struct((-F.abs(x["contribution"])).alias("size"), x["feature"].alias("feature"),
+                                                x["contribution"].alias("contribution")))
+    best = F.slice(F.array_sort(order), 1, top)
+    return rows.select("id", F.posexplode(best).alias("_at", "x")).select(
+        "id", "x.feature", "x.contribution", (F.col("_at") + 1).alias("rank"))
 
 
 def mean_abs_attribution(attr_all: DataFrame) -> DataFrame:
@@ -263,7 +264,8 @@ def random_param_maps(est: GBTClassifier, trials: int = config.TUNING_TRIALS, se
 
     The method's sequential model-based sampler is not rebuilt; independent
     draws give the same search space to ``CrossValidator``, which fits the
-    candidates in parallel.
+    candidates in parallel.  Iterations come in steps of 50.  Spark's trees
+    have no L1 / L2 penalty on leaf weights, so these two parameters are left out.
     """
     import math
     import random
@@ -275,7 +277,7 @@ def random_param_maps(est: GBTClassifier, trials: int = config.TUNING_TRIALS, se
         maps.append({
             est.maxDepth: rnd.randint(*space["maxDepth"]),
             est.stepSize: math.exp(rnd.uniform(math.log(lo), math.log(hi))),
-            est.maxIter: rnd.randint(*space["maxIter"]),
+            est.maxIter: rnd.randrange(space["maxIter"][0], space["maxIter"][1] + 1, 50),
             est.subsamplingRate: rnd.uniform(*space["subsamplingRate"]),
             est.featureSubsetStrategy: f"{rnd.uniform(*space['featureSubsetStrategy']):.3f}",
             est.minInstancesPerNode: rnd.randint(*space["minInstancesPerNode"]),
@@ -285,27 +287,27 @@ def random_param_maps(est: GBTClassifier, trials: int = config.TUNING_TRIALS, se
 
 def tune_gbt(mf: DataFrame, trials: int = config.TUNING_TRIALS, folds: int = 3, parallelism: int = 4,
              seed: int = config.RANDOM_STATE) -> DataFrame:
-    """M8: the candidate maximising mean CV AUC on the training rows; one row per trial with its AUC."""
+    """M8: one row per trial with its mean CV AUC on the training rows; the best trial is fitted again on
+    all training rows and has its test AUC (others null)."""
     train = mf.where(F.col("split") == "train")
-    keyed = E.prefix_sums(train.withColumn("_h", E.split_hash("id", seed + 1)).withColumn("_one", F.lit(1)),
-                          "_h", ["_one"], partition_cols=["label"], tie_col="id")
-    data = weighted(keyed.withColumn("fold", (F.col("_one_before") % folds).cast("int"))
-                    .withColumn("split", F.lit("train")), "pos") \
-        .withColumn("is_val", (E.split_hash("id", seed + 2) % 10) == 0)
+    data = weighted(with_folds(train, folds, seed + 1), "pos")
     est = gbt()
     maps = random_param_maps(est, trials, seed)
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", numBins=0)
     cv = CrossValidator(estimator=Pipeline(stages=[imputer_stage(train, FEATURES), _assembler(FEATURES), est]),
                         estimatorParamMaps=maps, evaluator=ev, foldCol="fold", parallelism=parallelism)
     res = cv.fit(data)
-    rows = [(i, float(m), *(str(pm[p]) for p in (est.maxDepth, est.stepSize, est.maxIter)))
+    best = max(range(len(maps)), key=lambda i: res.avgMetrics[i])
+    scored = score(res.bestModel, mf.where(F.col("split") == "test"), "p")  # CrossValidator has fitted it again
+    test_auc = E.auc(scored.select("label", F.col("p").alias("score"))).first().auc
+    rows = [(i, float(m), *(str(pm[p]) for p in (est.maxDepth, est.stepSize, est.maxIter)), float(test_auc) if i == best else None)
             for i, (m, pm) in enumerate(zip(res.avgMetrics, maps))]
-    return mf.sparkSession.createDataFrame(rows, "trial int, cv_auc double, maxDepth string, stepSize string, maxIter string")
+    return mf.sparkSession.createDataFrame(
+        rows, "trial int, cv_auc double, maxDepth string, stepSize string, maxIter string, test_auc double")
 
 
 def sampled_shapley(model: PipelineModel, rows: DataFrame, background: DataFrame, samples: int = 8,
-                    features: Sequence[str] = FEATURES, background_size: int = 100,
-                    seed: int = config.RANDOM_STATE) -> DataFrame:
+                    features: Sequence[str] = FEATURES, seed: int = config.RANDOM_STATE) -> DataFrame:
     """M24 for tree models: permutation-sampling Shapley values in log-odds, per row and feature.
 
     For every (row, sample m) a random feature order is drawn from seeded
@@ -313,18 +315,18 @@ def sampled_shapley(model: PipelineModel, rows: DataFrame, background: DataFrame
     feature j the row is rescored with the features preceding j (and j) taken
     from itself and the rest from z, and again without j.  The Shapley value
     is the mean log-odds difference over the samples.
-    All coalitions of all rows are scored by one ``transform``.  The
-    background is the ``background_size`` rows with the lowest seeded hash:
-    bounded, so it is broadcast.
+    All coalitions of all rows are scored by one ``transform``.  Every row
+    of the background can be drawn: it is numbered and joined by number,
+    before the features fan out.
     """
     feats = list(features)
-    # top-k by hash (TakeOrderedAndProject), then a window over at most ``background_size`` rows
-    bg = background.withColumn("_h", E.split_hash("id", seed + 3)).orderBy("_h").limit(background_size) \
-        .select((F.row_number().over(Window.orderBy("_h")) - 1).alias("_bg"),
-                *[F.col(f).alias(f"_z_{f}") for f in feats])
-    grid = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(m).alias("m"))
-                               for f in feats for m in range(samples)])).alias("g")
-    fan = rows.select("id", *feats, grid).select("*", "g.*").drop("g")
+    numbered = E.prefix_sums(background.select("id", E.split_hash("id", seed + 3).alias("_h"), F.lit(1).alias("_one")),
+                             "_h", ["_one"], tie_col="id").select("id", F.col("_one_before").alias("_bg"))
+    bg = cut_lineage(background.join(numbered, "id").select("_bg", *[F.col(f).alias(f"_z_{f}") for f in feats]))
+    background_size = bg.count()
+    if not background_size:
+        raise ValueError("the background has no rows")
+    fan = rows.select("id", *feats, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("m"))
     # one feature order and one reference row per (row, sample), shared by all features: the
     # differences of one order telescope, so the values of a row sum to f(x) - mean_m f(z_m)
     key = F.concat_ws("|", F.col("id").cast("string"), F.col("m").cast("string"))
@@ -333,8 +335,8 @@ def sampled_shapley(model: PipelineModel, rows: DataFrame, background: DataFrame
         return (F.xxhash64(key, F.lit(tag), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
                 / float(1 << 52))
 
-    fan = fan.withColumn("_bg", (F.abs(F.xxhash64(key, F.lit("bg"), F.lit(seed))) % background_size).cast("int"))
-    fan = fan.join(F.broadcast(bg), "_bg", "inner")
+    fan = fan.withColumn("_bg", F.pmod(F.xxhash64(key, F.lit("bg"), F.lit(seed)), F.lit(background_size).cast("long")))
+    fan = fan.join(bg, "_bg").withColumn("feature", F.explode(F.array(*[F.lit(f) for f in feats])))
     uj = F.coalesce(*[F.when(F.col("feature") == f, u(f)) for f in feats])
     fan = fan.withColumn("_uj", uj)
     plus = {f: F.when((F.col("feature") == f) | (u(f) < F.col("_uj")), F.col(f)).otherwise(F.col(f"_z_{f}"))
@@ -351,6 +353,5 @@ def sampled_shapley(model: PipelineModel, rows: DataFrame, background: DataFrame
 
 
 def top_attributions(attr: DataFrame, top: int = 12) -> DataFrame:
-    """Per row the ``top`` features by absolute contribution (a window over one row's features only)."""
-    w = Window.partitionBy("id").orderBy(F.abs("contribution").desc(), "feature")
-    return attr.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    """Per row the ``top`` features by absolute contribution."""
+    return _ranked(attr.groupBy("id").agg(F.collect_list(F.struct("feature", "contribution")).alias("c")), top)

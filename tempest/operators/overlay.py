@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tempest import config
 from tempest.functions import columns as C
+from tempest.operators import quantiles as Q
 from tempest.sources import dims
 
 _OTHER_RISK = 0.45
@@ -106,7 +107,7 @@ def income_filled(df: DataFrame, income_col: str = "annual_inc", impute: bool =
     """Income with missing values replaced by the batch median (scalar subquery)."""
     if not impute:
         return F.col(income_col)
-    med = df.agg(C.quantile(income_col, 0.5)).scalar()
+    med = Q.quantile(df, income_col, 0.5)
     return F.coalesce(F.col(income_col), med)
 
 

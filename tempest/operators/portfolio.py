@@ -61,10 +61,11 @@ def tier_counts(scored: DataFrame, all_tiers: bool = True) -> DataFrame:
         "Risk_Category", "tier_order", F.coalesce("loan_count", F.lit(0).cast("bigint")).alias("loan_count"))
 
 
-def state_risk(scored: DataFrame, state_col: str = "addr_state") -> DataFrame:
+def state_risk(scored: DataFrame, state_col: str = "addr_state", having: Column | None = None) -> DataFrame:
     """A4 + J7: per state averages, count, exposure, High/Critical count and share, static hazard.
 
-    The state key is stripped (P15) before grouping; NULL states are dropped.
+    The state key is stripped (P15) before grouping; NULL states are dropped, and so are those
+    for which the aggregate ``having`` is not true.
     """
     keyed = scored.withColumn("state", C.strip_key(state_col)).where(F.col("state").isNotNull())
     agg = keyed.groupBy("state").agg(
@@ -74,7 +75,10 @@ def state_risk(scored: DataFrame, state_col: str = "addr_state") -> DataFrame:
         F.count("CPD").alias("loan_count"),
         F.sum("EAD").alias("total_exposure"),
         _hc().alias("high_critical"),
+        *([] if having is None else [having.alias("_having")]),
     ).withColumn("high_critical_pct", F.col("high_critical") / F.col("loan_count") * 100.0)
+    if having is not None:
+        agg = agg.where("_having").drop("_having")
     dim = dims.state_dim(scored.sparkSession).select(
         F.col("state_key").alias("state"), F.col("physical_risk"))
     return agg.join(dim, "state", "left").withColumn(
@@ -89,11 +93,8 @@ def state_map_points(state_agg: DataFrame) -> DataFrame:
 
 
 def states_with_tiers(scored: DataFrame, tiers: Sequence[str], state_col: str = "addr_state") -> DataFrame:
-    """Per-state aggregate restricted to states with a loan in the chosen tiers (semi join)."""
-    agg = state_risk(scored, state_col)
-    hit = scored.where(F.col("Risk_Category").isin(*tiers)) \
-        .select(C.strip_key(state_col).alias("state")).where(F.col("state").isNotNull())
-    return agg.join(hit, "state", "left_semi")
+    """Per-state aggregate restricted to states with a loan in the chosen tiers, in one pass."""
+    return state_risk(scored, state_col, having=F.max(F.col("Risk_Category").isin(*tiers)))
 
 
 def sector_risk(scored: DataFrame, key: str = "purpose") -> DataFrame:

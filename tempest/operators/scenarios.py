@@ -130,7 +130,7 @@ def proxy_sensitivity(inputs: DataFrame, error_rates=(0.10, 0.20, 0.30), trials:
     """Replace the transition factor of a random share of loans by a random
     distinct factor; mean and population std over trials of the mean |CPD change|.
 
-    Per (trial, rate) the loans are drawn with seeded ``rand``; the replacement
+    Draws are digits of md5(loan|trial|percent|seed), so any engine can repeat them; the replacement
     factor is picked from the distinct intensities (an array with at most one
     entry per sector, so its size is bounded by the sector dimension).
     Two-level aggregation: per (trial, rate) mean, then per rate mean/std.
@@ -138,13 +138,13 @@ def proxy_sensitivity(inputs: DataFrame, error_rates=(0.10, 0.20, 0.30), trials:
     price = dims.scenario_price(scenario)
     factors = inputs.agg(F.array_sort(F.collect_set("emission_intensity")).alias("f")) \
         .select("f").scalar()
-    grid = F.array(*[F.struct(F.lit(t).alias("trial"), F.lit(float(r)).alias("rate"))
+    grid = F.array(*[F.struct(F.lit(t).alias("trial"), F.lit(round(100 * r)).alias("percent"))
                      for t in range(trials) for r in error_rates])
     fan = inputs.select("loan_id", "Baseline_PD", "hazard", "emission_intensity", "annual_inc") \
         .withColumn("_g", F.explode(grid)).select("*", "_g.*").drop("_g")
-    key = F.concat_ws("|", F.col("loan_id").cast("string"), F.col("trial").cast("string"), F.col("rate").cast("string"))
-    u1 = (F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double")) / float(1 << 52)
-    u2 = (F.xxhash64(key, F.lit(seed + 1)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double")) / float(1 << 52)
+    digits = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("loan_id", "trial", "percent")], F.lit(str(seed))))
+    u1, u2 = (F.conv(F.substring(digits, at, 13), 16, 10).cast("double") / float(1 << 52) for at in (1, 14))
+    fan = fan.withColumn("rate", F.col("percent") / 100.0)
     pick = F.element_at(factors, (F.floor(u2 * F.size(factors)) + 1).cast("int"))
     new_int = F.when(u1 < F.col("rate"), pick).otherwise(F.col("emission_intensity"))
     phys = overlay.physical_pd("Baseline_PD", "hazard", severity)

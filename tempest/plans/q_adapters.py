@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tempest import config
 from tempest.operators import adapters as A
 from tempest.plans.catalog import finish, r, register
 from tempest.plans.sqlbase import _q, clip_sql
+from tempest.session import run_folder
 from tempest.sources import adapters as src
 
 
@@ -93,7 +96,25 @@ def _retention_sql() -> str:
             + part("indian_bank", src.fixture_indian_bank_sql(), _indian_bank_sql()))
 
 
-@register("adapter_retention", _retention_sql, "P27 S3 O1")
+def _registry_sql() -> str:
+    part = lambda key, body: f"""SELECT '{key}' AS dataset, loan_id, "default", annual_inc, loan_amnt, addr_state FROM ({body})"""
+    return part("home_credit", _home_credit_sql()) + "\nUNION ALL\n" + part("indian_bank", _indian_bank_sql())
+
+
+@register("dataset_registry", _registry_sql, "S3 S4 S5")
+def dataset_registry(spark, sf_dir):
+    """Both foreign portfolios written as CSV files in their own layouts and loaded by their registry keys."""
+    run = run_folder(spark, "datasets")
+    out = None
+    for key, raw in (("home_credit", src.fixture_home_credit(spark, sf_dir)), ("indian_bank", src.fixture_indian_bank(spark, sf_dir))):
+        raw.write.option("header", True).csv(f"{run}/{key}")
+        df = A.load_dataset(spark, key, f"{run}/{key}").select(
+            F.lit(key).alias("dataset"), "loan_id", "default", "annual_inc", "loan_amnt", "addr_state")
+        out = df if out is None else out.unionByName(df)
+    return finish(out, money=_MONEY)
+
+
+@register("adapter_retention", _retention_sql, "P27 O1")
 def adapter_retention(spark, sf_dir):
     """Rows in, rows kept, retained share and default rate per adapted dataset."""
     hc_raw, ib_raw = src.fixture_home_credit(spark, sf_dir), src.fixture_indian_bank(spark, sf_dir)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from tempest import config
 from tempest.functions import columns as C
 from tempest.operators import climate as K
-from tempest.operators import overlay
+from tempest.operators import model, overlay
 from tempest.plans import base
 from tempest.plans.catalog import finish, r, register
 from tempest.plans.sqlbase import strip_sql, with_base
+from tempest.session import run_folder
+from tempest.sources import climate as CS
 from tempest.sources.climate import fixture_climate, fixture_climate_sql
 
 FB = config.CLIMATE_FALLBACK
@@ -127,12 +129,50 @@ def loan_climate_enriched(spark, sf_dir):
     return finish(df.select("loan_id", *config.CLIMATE_FEATURES))
 
 
+def _feature_set_sql() -> str:
+    names = {True: config.ALL_FEATURES + config.CLIMATE_FEATURES, False: config.ALL_FEATURES}
+    rows = ", ".join(f"({str(on).lower()}, {i}, '{f}')" for on, fs in names.items() for i, f in enumerate(fs))
+    return f"SELECT * FROM (VALUES {rows}) AS t(climate, position, feature)"
+
+
+@register("model_feature_set", _feature_set_sql, "P19")
+def model_feature_set(spark, sf_dir):
+    """The columns chosen for a model, with and without the climate columns of the enriched loans."""
+    enriched = K.enrich_climate(base.clean(spark, sf_dir), _features(spark, sf_dir))
+    chosen = F.array(*[F.struct(F.lit(on).alias("climate"), F.lit(i).alias("position"), F.lit(f).alias("feature"))
+                       for on in (True, False) for i, f in enumerate(model.feature_set(enriched, on))])
+    return enriched.limit(1).select(F.inline(chosen))
+
+
+# Locations that the stored table holds before the job (the same text in both engines).
+NORTH = "CAST(split_part(loc_key, '_', 1) AS DOUBLE) >= 30"
+
+
 @register("climate_missing_locations", lambda: with_base(f"""WITH {features_sql()},
 req AS (SELECT DISTINCT CAST(round(s.lat, 1) AS VARCHAR) || '_' || CAST(round(s.lon, 1) AS VARCHAR) AS loc_key,
           s.lat, s.lon
         FROM clean c JOIN states s ON {strip_sql('c.addr_state')} = s.state_key WHERE s.lat IS NOT NULL)
-SELECT loc_key, lat, lon FROM req WHERE loc_key NOT IN (SELECT loc_key FROM feat)"""),
+SELECT loc_key, lat, lon FROM req WHERE loc_key NOT IN (SELECT loc_key FROM feat WHERE {NORTH})"""),
           "J16 S14 A24")
 def climate_missing_locations(spark, sf_dir):
-    """Loan locations that have no row in the climate feature table (left anti join)."""
-    return K.missing_locations(K.requested_locations(base.clean(spark, sf_dir)), _features(spark, sf_dir))
+    """Loan locations that have no row in a feature table that covers the north only (left anti join)."""
+    known = _features(spark, sf_dir).where(NORTH)
+    return K.missing_locations(K.requested_locations(base.clean(spark, sf_dir)), known)
+
+
+@register("climate_table_append", lambda: with_base(f"""WITH {features_sql()},
+req AS (SELECT DISTINCT CAST(round(s.lat, 1) AS VARCHAR) || '_' || CAST(round(s.lon, 1) AS VARCHAR) AS loc_key
+        FROM clean c JOIN states s ON {strip_sql('c.addr_state')} = s.state_key WHERE s.lat IS NOT NULL)
+SELECT loc_key, {r('physical_risk_score')} AS physical_risk_score, NOT ({NORTH}) AS appended FROM feat
+WHERE {NORTH} OR loc_key IN (SELECT loc_key FROM req)"""), "S6 S14 J16")
+def climate_table_append(spark, sf_dir):
+    """JSON month maps per location -> features; the stored table gets the requested locations it lacks."""
+    run = run_folder(spark, "climate")
+    CS.write_climate_json(CS.fixture_climate(spark, sf_dir), f"{run}/json")
+    observed = CS.read_climate_json(spark, f"{run}/json")
+    table = f"{run}/features"
+    CS.append_features(K.climate_features(observed).where(NORTH).withColumn("appended", F.lit(False)), table)
+    missing = K.missing_locations(K.requested_locations(base.clean(spark, sf_dir)), CS.read_feature_table(spark, table))
+    new = K.climate_features(observed.join(missing.select("loc_key"), "loc_key", "left_semi"))
+    CS.append_features(new.withColumn("appended", F.lit(True)), table)
+    return finish(CS.read_feature_table(spark, table).select("loc_key", "physical_risk_score", "appended"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempest import config
 from tempest.functions import columns as C
 from tempest.operators import drift as D
 from tempest.operators import overlay
+from tempest.operators import portfolio as P
 from tempest.plans import base
 from tempest.plans.catalog import finish, r, register
 from tempest.plans.sqlbase import strip_sql, with_base
@@ -128,11 +130,22 @@ def missing_profile(spark, sf_dir):
         [f"SELECT '{a}' AS col_a, '{b}' AS col_b, {r(f'corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))')} AS corr FROM clean"
          for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]]
         + [f"SELECT '{a}', 'default', {r(f'corr(CAST({a} AS DOUBLE), CAST(\"default\" AS DOUBLE))')} FROM clean"
-           for a in CORR_COLS]) + ")"), "A18 T5")
+           for a in CORR_COLS]) + ")"), "A18")
 def correlations(spark, sf_dir):
     return finish(D.correlations(base.clean(spark, sf_dir), CORR_COLS, target="default"))
 
 
+@register("top_correlations", lambda: with_base(
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS feature, {r(f'corr(CAST({a} AS DOUBLE), CAST(\"default\" AS DOUBLE))')} AS corr FROM clean" for a in CORR_COLS)
+    + ") ORDER BY abs(corr) DESC, feature LIMIT 10"), "A18 T5")
+def top_correlations(spark, sf_dir):
+    """The features most correlated with the target, by absolute value."""
+    c = finish(D.correlations(base.clean(spark, sf_dir), CORR_COLS, target="default"))
+    c = c.where(F.col("col_b") == "default").select(F.col("col_a").alias("feature"), "corr")
+    return P.top_by_abs(c, "corr", 10, "feature")
+
+
 @register("default_rate_by_group", lambda: with_base(f"""
 WITH g AS (SELECT *, CASE WHEN fico_range_low > 300 AND fico_range_low <= 580 THEN 'Poor'
    WHEN fico_range_low > 580 AND fico_range_low <= 670 THEN 'Fair' WHEN fico_range_low > 670 AND fico_range_low <= 740 THEN 'Good'
@@ -193,11 +206,14 @@ def uplift_by_state(spark, sf_dir):
     df = overlay.with_static_hazard(base.with_pd(spark, sf_dir))
     u = df.select(C.strip_key("addr_state").alias("state"),
                   (overlay.physical_pd("Baseline_PD", "hazard") - F.col("Baseline_PD")).alias("uplift"))
-    overall = u.agg(F.struct(F.avg("uplift").alias("m"), F.stddev_pop("uplift").alias("s"),
-                             F.max("uplift").alias("x"))).scalar()
-    per = u.where(F.col("state").isNotNull()).groupBy("state").agg(F.avg("uplift").alias("mean_uplift"))
-    return finish(per.select("state", "mean_uplift", overall.getField("m").alias("overall_mean"),
-                             overall.getField("s").alias("overall_std"), overall.getField("x").alias("overall_max")))
+    # one pass: the overall figures follow from the states' sums (a row per state, in one small window)
+    per = u.groupBy("state").agg(F.avg("uplift").alias("mean_uplift"), F.count("uplift").alias("n"), F.sum("uplift").alias("s"),
+                                 F.sum(F.col("uplift") * F.col("uplift")).alias("ss"), F.max("uplift").alias("x"))
+    over = Window.partitionBy()
+    mean = F.sum("s").over(over) / F.sum("n").over(over)
+    spread = F.sqrt(F.greatest(F.sum("ss").over(over) / F.sum("n").over(over) - mean * mean, F.lit(0.0)))
+    out = per.select("state", "mean_uplift", mean.alias("overall_mean"), spread.alias("overall_std"), F.max("x").over(over).alias("overall_max"))
+    return finish(out.where(F.col("state").isNotNull()))
 
 
 @register("outlier_clip", lambda: with_base(f"""

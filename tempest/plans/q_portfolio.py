@@ -149,6 +149,16 @@ def states_with_tiers_q(spark, sf_dir):
                   money=("total_exposure",))
 
 
+@register("dashboard_loss", lambda: with_base(f"""
+SELECT loan_id, {r('Baseline_PD')} AS CPD, {r('installment * 36.0', 2)} AS EAD, {r('Baseline_PD * 0.45 * installment * 36.0', 2)} AS Expected_Loss
+FROM pd"""), "R11 R7 R8")
+def dashboard_loss(spark, sf_dir):
+    """Loans without amount, state and purpose: no overlay applies, exposure is 36 instalments."""
+    df = base.with_pd(spark, sf_dir).drop("loan_amnt", "addr_state", "purpose")
+    scored = overlay.score_cpd(df, ead_mode="dashboard", impute_income=False)
+    return finish(scored.select("loan_id", "CPD", "EAD", "Expected_Loss"), money=("EAD", "Expected_Loss"))
+
+
 @register("sector_risk", lambda: with_base(f"""
 SELECT purpose, {r('avg(Baseline_PD)')} AS avg_baseline_pd, {r('avg(CPD)')} AS avg_cpd,
   {r('avg(PD_Uplift_Pct)')} AS avg_uplift_pct, count(CPD) AS loan_count

@@ -124,18 +124,39 @@ def default_fill(spark, sf_dir):
     return finish(df.select("loan_id", *config.ALL_FEATURES))
 
 
+# The field rules, written out in the order of the reasons: field, what breaks its rule.
+BROKEN_RULES = [
+    ("dti", "dti < 0 OR dti > 100"),
+    ("annual_inc", "annual_inc <= 0"),
+    ("fico_range_low", "fico_range_low < 300 OR fico_range_low > 850"),
+    ("int_rate", "int_rate < 0 OR int_rate > 40"),
+    ("installment", "installment <= 0"),
+    ("emp_length", "emp_length < 0 OR emp_length > 10"),
+    ("loan_amnt", "loan_amnt <= 0"),
+    ("revol_util", "revol_util < 0"),
+    ("revol_bal", "revol_bal < 0"),
+    ("open_acc", "open_acc < 0"),
+    ("total_acc", "total_acc < 0"),
+    ("pub_rec", "pub_rec < 0"),
+    ("delinq_2yrs", "delinq_2yrs < 0"),
+    ("inq_last_6mths", "inq_last_6mths < 0"),
+    ("acc_open_past_24mths", "acc_open_past_24mths < 0"),
+    ("mort_acc", "mort_acc < 0"),
+    ("total_bc_limit", "total_bc_limit < 0"),
+    ("total_rev_hi_lim", "total_rev_hi_lim < 0"),
+    ("mo_sin_rcnt_tl", "mo_sin_rcnt_tl < 0"),
+    ("mo_sin_old_rev_tl_op", "mo_sin_old_rev_tl_op < 0"),
+    ("num_actv_rev_tl", "num_actv_rev_tl < 0"),
+    ("percent_bc_gt_75", "percent_bc_gt_75 < 0 OR percent_bc_gt_75 > 100"),
+    ("bc_util", "bc_util < 0"),
+    ("mths_since_recent_inq", "mths_since_recent_inq < 0"),
+]
+
+
 def _rejects_sql() -> str:
-    parts = []
-    for c, lo, hi, lo_excl in cleaning.RANGE_RULES:
-        conds = []
-        if lo is not None:
-            conds.append(f"{c} <= {lo}" if lo_excl else f"{c} < {lo}")
-        if hi is not None:
-            conds.append(f"{c} > {hi}")
-        parts.append(f"CASE WHEN coalesce({' OR '.join(conds)}, false) THEN '{c} out of range' END")
-    lst = "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
+    lst = ", ".join(f"CASE WHEN coalesce({bad}, false) THEN '{c} out of range' END" for c, bad in BROKEN_RULES)
     return f"""SELECT loan_id, CAST(len(rs) AS INTEGER) AS n_reasons, array_to_string(rs, ';') AS reasons
-FROM (SELECT loan_id, {lst} AS rs FROM typed) WHERE len(rs) > 0"""
+FROM (SELECT loan_id, list_filter([{lst}], lambda x: x IS NOT NULL) AS rs FROM typed) WHERE len(rs) > 0"""
 
 
 @register("validate_rejects", lambda: with_base(_rejects_sql()), "F2 F3")

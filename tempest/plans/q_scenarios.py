@@ -109,7 +109,20 @@ def ablation(spark, sf_dir):
     return finish(S.ablation(_inputs(spark, sf_dir)))
 
 
-@register("proxy_sensitivity", None, "R19")
+def _proxy_sql() -> str:
+    u = lambda at: f"CAST(('0x' || substr(d, {at}, 13)) AS BIGINT) / 4503599627370496.0"
+    changed = cpd_sql().replace("emission_intensity", "new_intensity")
+    return f"""WITH f AS (SELECT list_sort(list_distinct(list(emission_intensity))) AS f FROM lookup),
+g AS (SELECT l.*, p.percent, t.trial, md5(concat_ws('|', l.loan_id, t.trial, p.percent, 42)) AS d
+      FROM lookup l CROSS JOIN (SELECT unnest([10, 20, 30]) AS percent) p CROSS JOIN (SELECT unnest(range(100)) AS trial) t),
+n AS (SELECT g.*, CASE WHEN {u(1)} < percent / 100.0 THEN f.f[CAST(floor({u(14)} * len(f.f)) AS BIGINT) + 1]
+                       ELSE emission_intensity END AS new_intensity FROM g, f),
+m AS (SELECT percent, trial, avg(abs({changed} - {cpd_sql()})) AS mae FROM n GROUP BY percent, trial)
+SELECT percent / 100.0 AS rate, {r('avg(mae)')} AS mean_abs_cpd_change, {r('stddev_pop(mae)')} AS std_abs_cpd_change
+FROM m GROUP BY percent"""
+
+
+@register("proxy_sensitivity", lambda: with_base(_proxy_sql()), "R19")
 def proxy_sensitivity(spark, sf_dir):
-    """Random replacement of transition factors (seeded hashes); rows-only check."""
+    """Random replacement of transition factors, by repeatable draws."""
     return finish(S.proxy_sensitivity(_inputs(spark, sf_dir)))

@@ -8,8 +8,6 @@ must reproduce an existing query exactly, that query's SQL is the oracle.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tempest import config
@@ -18,12 +16,12 @@ from tempest.operators import cleaning, drift, scenarios
 from tempest.plans import base
 from tempest.plans.catalog import finish, oracle_text, r, register
 from tempest.plans.sqlbase import with_base
-from tempest.session import checkpoint_dir
+from tempest.session import materialise, run_folder
 from tempest.sources.loans import fixture_loans, read_loan_csv, read_upload_csv
 
 
 def _run_dir(spark, kind):
-    return f"{checkpoint_dir(spark)}/runs/{kind}-{uuid.uuid4().hex}"
+    return run_folder(spark, kind)
 
 
 def _write_upload(spark, sf_dir, run):
@@ -58,7 +56,7 @@ def batch_upload_summary(spark, sf_dir):
     run = _run_dir(spark, "upload")
     upload = read_upload_csv(spark, _write_upload(spark, sf_dir, run))
     n_input = upload.count()
-    scored = B.score_upload(B.prepare_upload(upload), "orderly")
+    scored = materialise(B.score_upload(B.prepare_upload(upload), "orderly"), run, "scored")
     summary = B.upload_summary(scored, n_input, "orderly")
     B.write_results(scored, summary, run)
     back = spark.read.json(f"{run}/summary_json")
@@ -67,20 +65,27 @@ def batch_upload_summary(spark, sf_dir):
     return back.select(*cols)
 
 
-@register("batch_upload_rows", None, "S8 S9 P35")
+@register("batch_upload_rows", lambda: with_base(f"""
+SELECT loan_id, {r('CPD')} AS cpd_csv, {r('CPD')} AS cpd_json, true AS same FROM portfolio"""), "S8 S9 P35")
 def batch_upload_rows(spark, sf_dir):
     """Scored upload rows read back from the CSV sink and compared with the JSON sink (NaN -> 0)."""
     run = _run_dir(spark, "upload")
     upload = read_upload_csv(spark, _write_upload(spark, sf_dir, run))
-    scored = B.score_upload(B.prepare_upload(upload), "orderly")
+    scored = materialise(B.score_upload(B.prepare_upload(upload), "orderly"), run, "scored")
     B.write_results(scored, B.upload_summary(scored, 0, "orderly"), run)
     csv = spark.read.option("header", True).csv(f"{run}/results_csv").select(
         F.col("loan_id").cast("long").alias("loan_id"), F.col("CPD").cast("double").alias("cpd_csv"))
     js = spark.read.json(f"{run}/results_json").select("loan_id", F.col("CPD").alias("cpd_json"))
-    return csv.join(js, "loan_id").withColumn("same", F.col("cpd_csv") == F.col("cpd_json"))
+    return finish(csv.join(js, "loan_id").withColumn("same", F.col("cpd_csv") == F.col("cpd_json")))
+
+
+def _export_sql() -> str:
+    from tempest.plans.q_scenarios import _grid_sql
+    return with_base(f"""WITH {_grid_sql(False)}
+SELECT scenario, Risk_Category, count(*) AS n_loans FROM grid2 WHERE Risk_Category IS NOT NULL GROUP BY scenario, Risk_Category""")
 
 
-@register("export_run", None, "S10 J12")
+@register("export_run", _export_sql, "S10 J12")
 def export_run(spark, sf_dir):
     """Per-scenario loan level, summary and risk distribution written by scenario; the distribution read back."""
     run = _run_dir(spark, "export")
@@ -88,7 +93,7 @@ def export_run(spark, sf_dir):
     per = scenarios.scenario_cpd(inputs).withColumn(
         "Expected_Loss", F.col("CPD") * config.DEFAULT_LGD * F.col("EAD"))
     B.export_scenarios(per.drop("scenario_order"), run)
-    return spark.read.parquet(f"{run}/risk_distribution")
+    return spark.read.parquet(f"{run}/risk_distribution").select("scenario", "Risk_Category", "n_loans")
 
 
 @register("training_stats_roundtrip", lambda: oracle_text("feature_stats"), "S11 A12")

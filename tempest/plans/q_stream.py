@@ -9,8 +9,6 @@ is its oracle.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tempest import config
@@ -19,7 +17,7 @@ from tempest.operators.scoring import SCORECARD_INTERCEPT, SCORECARD_WEIGHTS
 from tempest.plans import base
 from tempest.plans.catalog import finish, r, register
 from tempest.plans.sqlbase import cpd_sql, sectors_values, states_values, strip_sql, tier_sql
-from tempest.session import checkpoint_dir
+from tempest.session import run_folder
 from tempest.sources import requests as RQ
 from tempest.streaming import jobs
 
@@ -29,17 +27,24 @@ OUT_COLS = ["request_id", "dti", "annual_inc", "fico_range_low", "int_rate", "in
 
 
 def _run_dir(spark, kind):
-    return f"{checkpoint_dir(spark)}/streams/{kind}-{uuid.uuid4().hex}"
+    return run_folder(spark, f"stream-{kind}")
+
+
+# The rules of a request, written out: what breaks one.
+BAD_REQUEST = [
+    "dti < 0 OR dti > 100", "annual_inc <= 0", "fico_range_low < 300 OR fico_range_low > 850", "int_rate < 0 OR int_rate > 40",
+    "installment <= 0", "emp_length < 0 OR emp_length > 10", "loan_amnt <= 0", "revol_util < 0", "revol_bal < 0", "open_acc < 0",
+    "total_acc < 0", "pub_rec < 0", "delinq_2yrs < 0", "inq_last_6mths < 0", "acc_open_past_24mths < 0", "mort_acc < 0",
+    "total_bc_limit < 0", "total_rev_hi_lim < 0", "mo_sin_rcnt_tl < 0", "mo_sin_old_rev_tl_op < 0", "num_actv_rev_tl < 0",
+    "percent_bc_gt_75 < 0 OR percent_bc_gt_75 > 100", "bc_util < 0", "mths_since_recent_inq < 0",
+    "severity_factor < 0 OR severity_factor > 1", "transition_scaling < 0 OR transition_scaling > 1",
+]
 
 
 def _stream_score_sql() -> str:
     z = f"CAST({SCORECARD_INTERCEPT} AS DOUBLE)" + "".join(
         f" + CAST({w} AS DOUBLE) * ({f} - CAST({c} AS DOUBLE))" for f, c, w in SCORECARD_WEIGHTS)
-    bad = [("dti", "dti < 0 OR dti > 100"), ("annual_inc", "annual_inc <= 0"),
-           ("fico_range_low", "fico_range_low < 300 OR fico_range_low > 850"),
-           ("int_rate", "int_rate < 0 OR int_rate > 40"), ("installment", "installment <= 0"),
-           ("emp_length", "emp_length < 0 OR emp_length > 10"), ("loan_amnt", "loan_amnt <= 0")]
-    checks = " AND ".join(f"NOT coalesce({b}, false)" for _, b in bad)
+    checks = " AND ".join(f"NOT coalesce({b}, false)" for b in BAD_REQUEST)
     required = " AND ".join(f"{c} IS NOT NULL" for c in jobs.REQUIRED)
     return f"""
 WITH req AS ({RQ.requests_sql()}),
@@ -48,11 +53,12 @@ sectors AS ({sectors_values()}),
 ok AS (SELECT * FROM req WHERE {required} AND {checks}),
 d AS (SELECT request_id, dti, annual_inc, fico_range_low, int_rate, installment,
         coalesce(loan_amnt, 10000.0) AS loan_amnt, coalesce(emp_length, 3.0) AS emp_length, addr_state, purpose,
+        coalesce(severity_factor, {config.SEVERITY_FACTOR}) AS sev, coalesce(transition_scaling, {config.TRANSITION_SCALING}) AS tscale,
         1.0 / (1.0 + exp(-({z}))) AS Baseline_PD FROM ok),
 l AS (SELECT d.*, coalesce(s.physical_risk, 0.45) AS hazard, coalesce(k.emission_intensity, 0.25) AS emission_intensity
       FROM d LEFT JOIN states s ON {strip_sql('d.addr_state')} = s.state_key
       LEFT JOIN sectors k ON replace(lower(d.purpose), ' ', '_') = k.sector_key),
-c AS (SELECT l.*, {cpd_sql()} AS CPD FROM l)
+c AS (SELECT l.*, {cpd_sql('sev', scaling='tscale')} AS CPD FROM l)
 SELECT request_id, {r('dti')} AS dti, {r('annual_inc', 2)} AS annual_inc, {r('fico_range_low')} AS fico_range_low,
   {r('int_rate')} AS int_rate, {r('installment')} AS installment, {r('loan_amnt', 2)} AS loan_amnt,
   {r('emp_length')} AS emp_length, addr_state, purpose,
@@ -73,16 +79,13 @@ def stream_score(spark, sf_dir):
 @register("stream_rejects", lambda: f"""
 WITH req AS ({RQ.requests_sql()})
 SELECT request_id, CAST(count(*) AS BIGINT) AS n_reasons FROM (
-  SELECT request_id, unnest([
-    CASE WHEN dti < 0 OR dti > 100 THEN 1 END, CASE WHEN annual_inc <= 0 THEN 1 END,
-    CASE WHEN fico_range_low < 300 OR fico_range_low > 850 THEN 1 END, CASE WHEN int_rate < 0 OR int_rate > 40 THEN 1 END,
-    CASE WHEN installment <= 0 THEN 1 END, CASE WHEN emp_length < 0 OR emp_length > 10 THEN 1 END,
-    CASE WHEN loan_amnt <= 0 THEN 1 END]) AS bad FROM req) WHERE bad IS NOT NULL GROUP BY request_id""",
+  SELECT request_id, unnest([{", ".join(f"CASE WHEN {b} THEN 1 END" for b in BAD_REQUEST)}]) AS bad FROM req)
+WHERE bad IS NOT NULL GROUP BY request_id""",
           "Q1 F3")
 def stream_rejects(spark, sf_dir):
     """Requests the stream rejected, with the number of failed range rules."""
     out = _run_dir(spark, "score")
-    jobs.stream_score(spark, RQ.request_stream(spark, sf_dir), out, scenario="orderly")
+    jobs.stream_reject(spark, RQ.request_stream(spark, sf_dir), out)
     return spark.read.parquet(f"{out}/rejected").select(
         "request_id", F.size("reject_reasons").cast("long").alias("n_reasons"))
 

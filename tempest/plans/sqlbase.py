@@ -160,8 +160,8 @@ def trans_sql(pdp: str, intensity: str, income: str, price: str, scaling: str =
     return clip_sql(f"{pdp} * (1 + {ratio} * {scaling})", 0, 1)
 
 
-def cpd_sql(severity: str = "0.3", price: str = "100.0", pd: str = "Baseline_PD") -> str:
-    return trans_sql(phys_sql(pd, "hazard", severity), "emission_intensity", "annual_inc", price)
+def cpd_sql(severity: str = "0.3", price: str = "100.0", pd: str = "Baseline_PD", scaling: str = "0.4") -> str:
+    return trans_sql(phys_sql(pd, "hazard", severity), "emission_intensity", "annual_inc", price, scaling)
 
 
 def scored_sql(severity: str = "0.3", price: str = "100.0") -> str:

@@ -41,6 +41,18 @@ def long_from_maps(raw: DataFrame) -> DataFrame:
     return t.unionByName(p)
 
 
+def write_climate_json(obs: DataFrame, path: str) -> None:
+    """Long observations as one JSON record per location (``RAW_SCHEMA``)."""
+    def months(name: str):
+        here = F.when(F.col("variable") == name, F.struct("month", "value"))
+        return F.map_from_entries(F.collect_list(here)).alias(name)
+
+    place = F.split("loc_key", "_")
+    (obs.groupBy("loc_key").agg(months(T2M), months(PRECIP))
+     .select(place[0].cast("double").alias("lat"), place[1].cast("double").alias("lon"), T2M, PRECIP)
+     .write.mode("overwrite").json(path))
+
+
 def read_climate_json(spark: SparkSession, path: str) -> DataFrame:
     return long_from_maps(spark.read.schema(RAW_SCHEMA).json(path))
 

@@ -27,6 +27,28 @@ REQUEST_COLUMNS: list[tuple[str, str]] = [
     ("addr_state", nation_state_sql("(user_id % 25)")),
     ("purpose", "CASE event_type WHEN 'view' THEN 'car' WHEN 'signup' THEN 'debt_consolidation' "
                 "WHEN 'click' THEN 'small_business' WHEN 'purchase' THEN 'Home Improvement' END"),
+    # optional fields: missing, in range or, now and then, out of range
+    ("revol_util", "CASE WHEN event_id % 61 = 0 THEN -1.0 WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 90 AS DOUBLE) END"),
+    ("revol_bal", "CASE WHEN event_id % 67 = 0 THEN -5.0 ELSE CAST(event_id % 9000 AS DOUBLE) END"),
+    ("open_acc", "CASE WHEN event_id % 71 = 0 THEN -1.0 ELSE CAST(event_id % 12 AS DOUBLE) END"),
+    ("total_acc", "CASE WHEN event_id % 73 = 0 THEN -1.0 ELSE CAST(event_id % 30 AS DOUBLE) END"),
+    ("pub_rec", "CASE WHEN event_id % 79 = 0 THEN -1.0 ELSE CAST(event_id % 2 AS DOUBLE) END"),
+    ("delinq_2yrs", "CASE WHEN event_id % 83 = 0 THEN -1.0 ELSE CAST(event_id % 3 AS DOUBLE) END"),
+    ("inq_last_6mths", "CASE WHEN event_id % 89 = 0 THEN -1.0 ELSE CAST(event_id % 4 AS DOUBLE) END"),
+    ("acc_open_past_24mths", "CASE WHEN event_id % 97 = 0 THEN -1.0 ELSE CAST(event_id % 6 AS DOUBLE) END"),
+    ("mort_acc", "CASE WHEN event_id % 101 = 0 THEN -1.0 ELSE CAST(event_id % 4 AS DOUBLE) END"),
+    ("total_bc_limit", "CASE WHEN event_id % 103 = 0 THEN -1.0 ELSE CAST(event_id % 20000 AS DOUBLE) END"),
+    ("total_rev_hi_lim", "CASE WHEN event_id % 107 = 0 THEN -1.0 ELSE CAST(event_id % 30000 AS DOUBLE) END"),
+    ("mo_sin_rcnt_tl", "CASE WHEN event_id % 109 = 0 THEN -1.0 ELSE CAST(event_id % 40 AS DOUBLE) END"),
+    ("mo_sin_old_rev_tl_op", "CASE WHEN event_id % 113 = 0 THEN -1.0 ELSE CAST(event_id % 300 AS DOUBLE) END"),
+    ("num_actv_rev_tl", "CASE WHEN event_id % 127 = 0 THEN -1.0 ELSE CAST(event_id % 9 AS DOUBLE) END"),
+    ("percent_bc_gt_75", "CASE WHEN event_id % 131 = 0 THEN -1.0 WHEN event_id % 59 = 0 THEN 101.0 ELSE CAST(event_id % 101 AS DOUBLE) END"),
+    ("bc_util", "CASE WHEN event_id % 137 = 0 THEN -1.0 ELSE CAST(event_id % 110 AS DOUBLE) END"),
+    ("mths_since_recent_inq", "CASE WHEN event_id % 139 = 0 THEN -1.0 WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 24 AS DOUBLE) END"),
+    ("severity_factor", "CASE WHEN event_id % 149 = 0 THEN 1.5 WHEN event_id % 151 = 0 THEN -0.1 "
+                        "WHEN event_id % 6 = 0 THEN NULL ELSE CAST(event_id % 5 AS DOUBLE) / 8.0 END"),
+    ("transition_scaling", "CASE WHEN event_id % 157 = 0 THEN 1.5 WHEN event_id % 163 = 0 THEN -0.1 "
+                           "WHEN event_id % 9 = 0 THEN NULL ELSE CAST(event_id % 4 AS DOUBLE) / 8.0 END"),
 ]
 
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"

@@ -9,8 +9,8 @@ the stream uses values frozen beforehand.
 Q2 keeps state: per tumbling event-time window, feature and bin the row
 counts, with a watermark so late rows are dropped and state is bounded.
 The bin edges and expected shares come from stored training statistics and
-are broadcast; PSI is computed in ``foreachBatch`` for windows the watermark
-has closed.
+are broadcast; the counts that a batch changed are written by ``foreachBatch``
+and PSI is computed from the last counts when the input ends.
 
 Both write to parquet under a folder the caller names (on a cluster: inside
 the shared checkpoint folder) with checkpoint locations beside them, so a
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tempest import config
 from tempest.functions import columns as C
 from tempest.operators import cleaning, drift, overlay, scoring
+from tempest.operators import quantiles as Q
+from tempest.session import cut_lineage
 
 # FIXED VALUES: single-request defaults of the scoring request schema.
 REQUEST_DEFAULTS = {
@@ -39,7 +41,6 @@ REQUEST_DEFAULTS = {
 # FIXED VALUES: encodings the single-request path sets (grade C3, not verified, 96 months of history).
 REQUEST_FIXED = {"sub_grade_num": 13.0, "verification_num": 0.0, "credit_history_months": 96.0}
 REQUIRED = ["dti", "annual_inc", "fico_range_low", "int_rate", "installment"]
-FACTOR_RULES = [("severity_factor", 0.0, 1.0, False), ("transition_scaling", 0.0, 1.0, False)]
 
 DRIFT_FEATURES = ["dti", "annual_inc", "fico_range_low", "int_rate", "installment", "loan_amnt", "emp_length",
                   "income_to_installment", "loan_to_income", "monthly_payment_burden"]
@@ -54,15 +55,20 @@ def with_request_defaults(req: DataFrame) -> DataFrame:
     return cleaning.add_engineered(req.withColumns(cols))
 
 
+def tag_requests(req: DataFrame) -> DataFrame:
+    """Requests with ``reject_reasons``: missing required fields, fields and factors out of range."""
+    tagged = cleaning.validate(req, REQUIRED)
+    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(f"{c} missing")) for c in REQUIRED]),
+                       lambda x: x.isNotNull())
+    return tagged.withColumn("reject_reasons", F.concat(missing, F.col("reject_reasons")))
+
+
 def split_valid(req: DataFrame) -> tuple[DataFrame, DataFrame]:
     """F2 + F3: required fields present (schema check) and range rules per row.
 
     Returns (accepted, rejected); rejected rows carry ``reject_reasons``.
     """
-    tagged = cleaning.validate(req, REQUIRED)
-    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(f"{c} missing")) for c in REQUIRED]),
-                       lambda x: x.isNotNull())
-    tagged = tagged.withColumn("reject_reasons", F.concat(missing, F.col("reject_reasons")))
+    tagged = tag_requests(req)
     ok = F.size("reject_reasons") == 0
     return tagged.where(ok).drop("reject_reasons"), tagged.where(~ok)
 
@@ -81,7 +87,11 @@ def score_requests(req: DataFrame, scenario: str = "orderly", severity: float =
     dims.validate_scenario(scenario)
     df = with_request_defaults(req)
     df = baseline(df) if baseline else scoring.scorecard_pd(df, impute=False)
-    scored = overlay.score_cpd(df, scenario=scenario, severity=severity, scaling=scaling, impute_income=False)
+    # a request may bring its own factors
+    own = {c: F.coalesce(F.col(c).cast("double"), C.lit_d(d)) if c in req.columns else d
+           for c, d in (("severity_factor", severity), ("transition_scaling", scaling))}
+    scored = overlay.score_cpd(df, scenario=scenario, severity=own["severity_factor"], scaling=own["transition_scaling"],
+                               impute_income=False)
     return scored.select(
         *[c for c in req.columns],
         C.fixed_round_col("Baseline_PD", 6).alias("Baseline_PD"), C.fixed_round_col("CPD", 6).alias("CPD"),
@@ -99,11 +109,26 @@ def run_available_now(df: DataFrame, out_dir: str, checkpoint: str, mode: str =
     q.awaitTermination()
 
 
-def stream_score(spark: SparkSession, requests: DataFrame, out_dir: str, scenario: str = "orderly") -> None:
-    """Q1: accepted requests scored to ``out_dir/scored``, rejected ones with reasons to ``out_dir/rejected``."""
-    accepted, rejected = split_valid(requests)
-    run_available_now(score_requests(accepted, scenario), f"{out_dir}/scored", f"{out_dir}/_ck_scored")
-    run_available_now(rejected, f"{out_dir}/rejected", f"{out_dir}/_ck_rejected")
+def stream_score(spark: SparkSession, requests: DataFrame, out_dir: str, scenario: str = "orderly", baseline=None) -> None:
+    """Q1: accepted requests scored to ``out_dir/scored``, rejected ones with reasons to ``out_dir/rejected``.
+
+    The source is read once: a batch's tagged rows are written first, and both results come from
+    there.  A batch that runs again writes its own folders again.
+    """
+    def on_batch(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/tagged/batch={number}")
+        tagged = batch.sparkSession.read.schema(batch.schema).parquet(f"{out_dir}/tagged/batch={number}")
+        ok = F.size("reject_reasons") == 0
+        scored = score_requests(tagged.where(ok).drop("reject_reasons"), scenario, baseline=baseline)
+        scored.write.mode("overwrite").parquet(f"{out_dir}/scored/batch={number}")
+        tagged.where(~ok).write.mode("overwrite").parquet(f"{out_dir}/rejected/batch={number}")
+
+    run_available_now(tag_requests(requests), out_dir, f"{out_dir}/_ck_score", foreach_batch=on_batch)
+
+
+def stream_reject(spark: SparkSession, requests: DataFrame, out_dir: str) -> None:
+    """F2 + F3 alone: rejected requests with their reasons to ``out_dir/rejected``; nothing is scored."""
+    run_available_now(split_valid(requests)[1], f"{out_dir}/rejected", f"{out_dir}/_ck_rejected")
 
 
 # ---------------------------------------------------------------------------
@@ -116,9 +141,9 @@ def reference_bins(stats: DataFrame, n_bins: int = config.PSI_BINS) -> DataFrame
     """
     ref = drift.reference_sample(stats)
     probs = [i / n_bins for i in range(n_bins + 1)]
-    e = ref.groupBy("feature").agg(
-        F.array_sort(F.array_distinct(F.percentile("value", F.array(*[F.lit(p) for p in probs])))).alias("e"),
-        F.count(F.lit(1)).alias("n_ref"))
+    e = (Q.quantiles(ref, "value", probs, ["feature"])
+         .join(ref.groupBy("feature").agg(F.count(F.lit(1)).alias("n_ref")), "feature")
+         .select("feature", F.array_sort(F.array_distinct("q")).alias("e"), "n_ref"))
     k = F.size("e")
     edges = e.where(k >= 2).select("feature", "n_ref", F.concat(
         F.array(F.col("e")[0] - C.lit_d(1e-8)), F.slice("e", 2, k - 2),
@@ -166,12 +191,18 @@ def window_psi(counts: DataFrame, ref_bins: DataFrame) -> DataFrame:
 
 def stream_drift(spark: SparkSession, requests: DataFrame, stats: DataFrame, out_dir: str,
                  features: Sequence[str] = DRIFT_FEATURES, window: str = "1 day", watermark: str = "2 hours") -> None:
-    """Q2: windowed bin counts with a watermark; PSI of each closed window appended to ``out_dir/psi``."""
-    ref_bins = reference_bins(stats.where(F.col("feature").isin(*features))).cache()
+    """Q2: windowed bin counts with a watermark; PSI of every window to ``out_dir/psi``.
+
+    A batch writes the counts that it changed into its own folder (again, if it runs again); the last
+    count of a (window, feature, bin) holds.  The job ends with the input, which closes all windows.
+    """
+    ref_bins = cut_lineage(reference_bins(stats.where(F.col("feature").isin(*features))))
     counts = window_counts(requests, ref_bins, features, window=window, watermark=watermark)
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        window_psi(batch, ref_bins).write.mode("append").parquet(f"{out_dir}/psi")
+    def on_batch(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/counts/batch={number}")
 
-    run_available_now(counts, f"{out_dir}/psi", f"{out_dir}/_ck_drift", foreach_batch=on_batch)
-    ref_bins.unpersist()
+    run_available_now(counts, out_dir, f"{out_dir}/_ck_drift", mode="update", foreach_batch=on_batch)
+    changed = spark.read.parquet(f"{out_dir}/counts")
+    last = changed.groupBy("w", "feature", "bin").agg(F.max(F.struct("batch", "n")).alias("x")).select("w", "feature", "bin", "x.n")
+    window_psi(last, ref_bins).write.mode("overwrite").parquet(f"{out_dir}/psi")

@@ -1,32 +1,38 @@
-"""Quantile switch, size-checked lookup join, upload contract, dataset registry, dimensions."""
+"""Quantiles, upload contract, dataset registry, dimensions."""
+
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tempest import config
 from tempest.operators import adapters as A
 from tempest.operators import batch as B
-from tempest.operators import cleaning
-from tempest.operators.joins import lookup_join
+from tempest.operators import quantiles as Q
 from tempest.sources import dims
 
 
-def test_approximate_quantiles_switch(spark, monkeypatch):
-    df = spark.range(0, 10001).select(F.col("id").cast("double").alias("x"))
-    exact = cleaning.medians_row(df, ["x"]).first().x
-    monkeypatch.setattr(config, "EXACT_QUANTILES", False)
-    approx = cleaning.medians_row(df, ["x"]).first().x
-    assert exact == 5000.0 and abs(approx - exact) <= 10001 / config.APPROX_QUANTILE_ACCURACY + 1
-
-
-def test_lookup_join_same_result_with_and_without_broadcast(spark):
-    big = spark.range(0, 1000).select((F.col("id") % 37).alias("k"), F.col("id"))
-    small = spark.range(0, 37).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    a = sorted(lookup_join(big, small, ["k"]).collect())
-    b = sorted(lookup_join(big, small, ["k"], max_broadcast_rows=5).collect())
-    assert a == b and len(a) == 1000
-    with pytest.raises(ValueError):
-        lookup_join(big, small, [])
+def test_quantiles_equal_percentile(spark):
+    rng = random.Random(1)
+    values = [0.0, -0.0, 1e-310, 1e308, -1e308, None, float("nan")]
+    rows = [(g, rng.choice(values + [rng.gauss(0, 1), rng.uniform(-1e6, 1e6), float(rng.randint(-3, 3)), 2.0 ** rng.randint(-50, 50)]))
+            for g, n in (("a", 1), ("b", 7), (None, 800)) for _ in range(n)]
+    df = spark.createDataFrame(rows + [("c", 5.0)] * 9, "g string, x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+    got = {r.g: r.q for r in Q.quantiles(df, "x", probs, ["g"]).collect()}
+    exact = df.where("x is not null and not isnan(x)").groupBy("g").agg(F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("q"))
+    assert got == {r.g: r.q for r in exact.collect()}
+    assert Q.quantiles(df.where("false"), "x", [0.5]).collect()[0].q == [None]
+    assert Q.quantiles(df.where("false"), "x", [0.5], ["g"]).collect() == []
+
+
+def test_value_buckets_keep_the_order(spark):
+    rng = random.Random(2)
+    xs = sorted([rng.uniform(-1, 1) * 2.0 ** rng.randint(-1000, 1000) for _ in range(3000)] + [0.0, 5e-324, -5e-324]
+                + [f(2.0 ** k) for k in range(-1000, 1000, 7) for f in (float, lambda x: math.nextafter(x, 0))])
+    df = spark.createDataFrame(list(enumerate(xs)), "i long, x double").orderBy("i")
+    buckets = [r[0] for r in df.select(Q.value_bucket(F.col("x"))).collect()]
+    assert buckets == sorted(buckets)
 
 
 def test_upload_requires_columns_before_any_job(spark):

@@ -25,17 +25,15 @@ def test_stream_score_equals_batch(spark):
     assert spark.read.parquet(f"{out}/rejected").count() == rej.count() > 0
 
 
-def test_stream_drift_equals_batch_closed_windows(spark):
+def test_stream_drift_equals_batch(spark):
     stats = drift.feature_stats(drift.long_form(base.clean(spark, SF_SMALL), jobs.DRIFT_FEATURES))
     out = tempfile.mkdtemp(prefix="t-drift-")
     jobs.stream_drift(spark, RQ.request_stream(spark, SF_SMALL), stats, out)
     streamed = spark.read.parquet(f"{out}/psi")
     ref = jobs.reference_bins(stats)
     batch = jobs.window_psi(jobs.window_counts(RQ.request_batch(spark, SF_SMALL), ref, watermark=None), ref)
-    last = batch.agg(F.max("window_end")).first()[0]
-    closed = batch.where(F.col("window_end") < last)  # the watermark keeps the last window open
     key = ["window_start", "feature", "psi", "status"]
-    assert sorted(streamed.select(*key).collect()) == sorted(closed.select(*key).collect())
+    assert sorted(streamed.select(*key).collect()) == sorted(batch.select(*key).collect())
 
 
 @pytest.fixture(scope="module")
@@ -81,16 +79,31 @@ def test_random_param_maps_seeded():
     assert all(3 <= m[est.maxDepth] <= 10 for m in a)
 
 
-def test_sampled_shapley_efficiency(spark, mf):
-    """One order per (row, sample) shared by all features: values sum to f(x) - f(z) exactly (one background row)."""
+@pytest.mark.parametrize("n_background", [1, 20, 500])
+def test_sampled_shapley_efficiency(spark, mf, n_background):
+    """One order and one background row per (row, sample), shared by all features: a row's values sum to f(x)
+    minus the mean score of the background rows drawn for it, for a background of any size."""
     model = M.fit(mf, "gbt", max_iter=5)
     test = mf.where(F.col("split") == "test").orderBy("id").limit(3)
-    bg = mf.where(F.col("split") == "train").orderBy("id").limit(1)
-    attr = M.sampled_shapley(model, test, bg, samples=4, background_size=1)
+    bg = mf.where(F.col("split") == "train").orderBy("id").limit(n_background)
+    attr = M.sampled_shapley(model, test, bg, samples=4)
     tot = {r.id: r.s for r in attr.groupBy("id").agg(F.sum("contribution").alias("s")).collect()}
     logit = F.log(F.col("p") / (1 - F.col("p")))
     fx = {r.id: r.z for r in M.score(model, test).select("id", logit.alias("z")).collect()}
-    fz = M.score(model, bg).select(logit.alias("z")).first().z
+    order = {i: k for k, i in enumerate(r.id for r in bg.select("id", M.E.split_hash("id", M.config.RANDOM_STATE + 3).alias("h")).orderBy("h", "id").collect())}
+    fz = {order[r.id]: r.z for r in M.score(model, bg).select("id", logit.alias("z")).collect()}
+    n = len(fz)
+    draws = test.select("id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("m")).select(
+        "id", F.pmod(F.xxhash64(F.concat_ws("|", F.col("id").cast("string"), F.col("m").cast("string")), F.lit("bg"), F.lit(M.config.RANDOM_STATE)),
+                     F.lit(n).cast("long")).alias("z")).collect()
     assert len(tot) == 3
     for i, s in tot.items():
-        assert s == pytest.approx(fx[i] - fz, abs=1e-9)
+        assert s == pytest.approx(fx[i] - sum(fz[r.z] for r in draws if r.id == i) / 4, abs=1e-9)
+
+
+def test_boosted_trees_run_all_iterations(spark, mf):
+    model = M.fit(mf, "gbt", max_iter=25, max_depth=3, step=0.1)
+    assert model.stages[-1].getNumTrees == 25
+    assert M.gbt().getMaxIter() == 300 and not M.gbt().isSet("validationIndicatorCol")
+    assert M.test_metrics(model, mf, "gbt").first().auc > 0.6  # the label has a signal
+    assert M.cv_auc(mf, "gbt", folds=2, maxIter=5).first().cv_auc_mean > 0.55
