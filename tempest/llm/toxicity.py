@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words and the first 4, 5 and 6 letters of longer ones (inflected forms share
-them).  From the labelled examples the terms that speak for the label are chosen: those over-represented
-in toxic examples with a log-likelihood ratio above ``2 ln(number of candidate terms)``, at which about
+them).  From the labelled examples the terms that speak for the label are chosen: those at least
+``LEAST_LIFT`` times as frequent in toxic examples, with a log-likelihood ratio above ``2 ln(number of candidate terms)``, at which about
 one term would pass by chance, the ``MAX_TERMS`` strongest at most.  Document frequencies are those of
 the whole corpus.
 
@@ -49,6 +49,7 @@ MAX_EXAMPLES = 10_000
 MAX_TERMS = 512
 MIN_DOCS = 3
 CANDIDATES = 8
+LEAST_LIFT = 2.0
 PREFIXES = (4, 5, 6)
 SOFT = 0.05
 BINS = 20
@@ -102,7 +103,7 @@ def sample(labels: DataFrame, folder: str, max_examples: int = MAX_EXAMPLES) ->
 
 
 def _ratio(n0: float, n1: float):
-    """Log-likelihood ratio of counts a0 of n0 and a1 of n1; 0 for terms that speak against the label."""
+    """Log-likelihood ratio of counts a0 of n0 and a1 of n1; 0 for terms that don't speak for the label."""
     a0, a1 = F.col("a0"), F.col("a1")
     both, toxic = a0 + a1, n1 / (n0 + n1)
 
@@ -110,7 +111,7 @@ def _ratio(n0: float, n1: float):
         return F.when((seen > 0) & (expected > 0), seen * F.ln(seen / expected)).otherwise(0.0)
 
     g = 2 * (part(a1, both * toxic) + part(a0, both * (1 - toxic)) + part(n1 - a1, n1 - both * toxic) + part(n0 - a0, n0 - both * (1 - toxic)))
-    return F.when(a1 / n1 > a0 / n0, g).otherwise(0.0)
+    return F.when(a1 / n1 >= LEAST_LIFT * a0 / n0, g).otherwise(0.0)
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
