@@ -42,10 +42,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mixing.pareto_mix(docs)
-    times = F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int"))).alias("mix_time")
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in mixing.ADDED]
-    return mixed.where(F.col("mix_copies") > 0).select(*columns, times).select(*columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    mixed = mixing.pareto_mix(docs.select("doc_id", "source", "text", row)).where(F.col("mix_copies") > 0)
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select("row.*")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
