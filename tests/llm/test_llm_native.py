@@ -110,7 +110,11 @@ def test_sample_follows_the_order_of_odds(spark):
     plan = {r.plan_source: r for r in mixing.mixing_plan(d).collect()}
     u = {r.doc_id: (r.source, r.size, r.u) for r in mixing.narrow_rows(d).collect()}
     taken = {r.doc_id: r.mix_copies for r in mixing.pareto_mix(d).collect()}
+    assert any(p.p > 0 for p in plan.values())
     for s, p in plan.items():
+        if not p.p:
+            assert {taken[i] for i in taken if u[i][0] == s} == {p.whole}
+            continue
         order = sorted((mixing.odds_ratio(x, p.p), size, i) for i, (src, size, x) in u.items() if src == s)
         words, rest, best = 0, p.target - p.whole * p.source_size, []
         for _, size, i in order:
