@@ -16,7 +16,7 @@ from tempest.operators import drift
 from tempest.operators.scoring import SCORECARD_INTERCEPT, SCORECARD_WEIGHTS
 from tempest.plans import base
 from tempest.plans.catalog import finish, r, register
-from tempest.plans.sqlbase import cpd_sql, sectors_values, states_values, strip_sql, tier_sql
+from tempest.plans.sqlbase import cpd_sql, sectors_values, states_values, strip_sql, tier_sql, with_base
 from tempest.session import run_folder
 from tempest.sources import requests as RQ
 from tempest.streaming import jobs
@@ -90,10 +90,45 @@ def stream_rejects(spark, sf_dir):
         "request_id", F.size("reject_reasons").cast("long").alias("n_reasons"))
 
 
-@register("stream_drift", None, "Q2 R16 R17")
+def _stream_drift_sql() -> str:
+    """Written out: reference values of the stored statistics, their deciles as edges, counts per day and bin."""
+    from tempest.plans.q_drift import stats_sql
+
+    feats = ", ".join(f"'{f}'" for f in jobs.DRIFT_FEATURES)
+    probs = "[" + ", ".join(repr(i / 10) for i in range(11)) + "]"
+    values = {"dti": "dti", "annual_inc": "annual_inc", "fico_range_low": "fico_range_low", "int_rate": "int_rate",
+              "installment": "installment", "loan_amnt": "amt", "emp_length": "coalesce(emp_length, 3.0)",
+              "income_to_installment": "annual_inc / (installment * 12 + 1)", "loan_to_income": "amt / (annual_inc + 1)",
+              "monthly_payment_burden": "installment / (annual_inc / 12 + 1)"}
+    rows = " UNION ALL ".join(f"SELECT day, '{f}' AS feature, CAST({v} AS DOUBLE) AS value FROM rq" for f, v in values.items())
+    return with_base(f"""WITH {stats_sql("true")},
+ref AS (SELECT feature, unnest(list_concat(list_concat(list_concat(list_transform(range(6), lambda x: min), list_transform(range(12), lambda x: p10)),
+          list_concat(list_transform(range(18), lambda x: p25), list_transform(range(25), lambda x: p50))), list_concat(list_concat(list_transform(range(18), lambda x: p75), list_transform(range(12), lambda x: p90)),
+          list_transform(range(6), lambda x: max)))) AS value FROM stats WHERE feature IN ({feats})),
+e0 AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, {probs}))) AS e, count(*) AS n_ref FROM ref GROUP BY feature),
+edg AS (SELECT feature, n_ref, [e[1] - 1e-8] || e[2:len(e) - 1] || [e[len(e)] + 1e-8] AS edges FROM e0 WHERE len(e) >= 2),
+rq AS (SELECT CAST(CAST(event_time AS DATE) AS VARCHAR) AS day, *, coalesce(loan_amnt, 10000.0) AS amt FROM ({RQ.requests_sql()})),
+act AS (SELECT * FROM ({rows}) WHERE value IS NOT NULL AND NOT isnan(value)),
+both_rows AS (SELECT 'ref' AS day, feature, value FROM ref UNION ALL SELECT day, feature, value FROM act),
+b AS (SELECT day, feature, CASE WHEN value >= edges[1] AND value <= edges[len(edges)]
+              THEN least(len(list_filter(edges, lambda t: t <= value)) - 1, len(edges) - 2) ELSE -1 END AS bin
+      FROM both_rows JOIN edg USING (feature)),
+c AS (SELECT day, feature, bin, count(*) AS n FROM b GROUP BY ALL),
+t AS (SELECT day, feature, sum(n) AS total FROM c GROUP BY ALL),
+grid AS (SELECT day, feature, total, unnest(range(0, len(edges) - 1)) AS bin FROM t JOIN edg USING (feature)),
+share AS (SELECT g.day, g.feature, g.bin, CASE WHEN coalesce(n, 0) = 0 THEN 1e-4 ELSE n / total END AS s
+          FROM grid g LEFT JOIN c ON c.day = g.day AND c.feature = g.feature AND c.bin = g.bin),
+p AS (SELECT a.day, a.feature, sum((a.s - e.s) * ln(a.s / e.s)) AS psi FROM share a
+      JOIN share e ON e.day = 'ref' AND e.feature = a.feature AND e.bin = a.bin WHERE a.day <> 'ref' GROUP BY ALL)
+SELECT day, feature, {r('psi', 5)} AS psi,
+  CASE WHEN psi >= 0.25 THEN 'DRIFT' WHEN psi >= 0.10 THEN 'MODERATE' ELSE 'OK' END AS status FROM p""")
+
+
+@register("stream_drift", _stream_drift_sql, "Q2 R16 R17")
 def stream_drift(spark, sf_dir):
-    """PSI per closed daily window and feature of the request stream against the loans' training statistics."""
+    """PSI per day and feature of the request stream against the loans' training statistics."""
     stats = drift.feature_stats(drift.long_form(base.clean(spark, sf_dir), jobs.DRIFT_FEATURES))
     out = _run_dir(spark, "drift")
     jobs.stream_drift(spark, RQ.request_stream(spark, sf_dir), stats, out)
-    return spark.read.parquet(f"{out}/psi")
+    psi = spark.read.parquet(f"{out}/psi")
+    return finish(psi.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "feature", "psi", "status"), digits=5)

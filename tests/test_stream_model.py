@@ -49,6 +49,26 @@ def test_model_fit_score_calibrate(spark, mf):
     assert 0 <= r[0] <= r[1] <= 1 and 0 <= r[2] <= r[3] <= 1 and r[4] > 0
 
 
+def test_stream_scores_with_a_fitted_model(spark, mf):
+    """The fitted pipeline as baseline gives the stream the PD that it gives the batch."""
+    model = M.fit(mf, "lr", maxIter=20)
+    out = tempfile.mkdtemp(prefix="t-stream-")
+    baseline = lambda df: M.score(model, df, "Baseline_PD")
+    jobs.stream_score(spark, RQ.request_stream(spark, SF_SMALL), out, baseline=baseline)
+    cols = ["request_id", "Baseline_PD", "CPD", "Risk_Category", "Expected_Loss"]
+    batch = jobs.score_requests(jobs.split_valid(RQ.request_batch(spark, SF_SMALL))[0], baseline=baseline)
+    got = sorted(spark.read.parquet(f"{out}/scored").select(*cols).collect())
+    assert got == sorted(batch.select(*cols).collect()) and len({r.Baseline_PD for r in got}) > 10
+
+
+def test_model_columns_with_and_without_climate(spark, mf):
+    from tempest import config
+
+    assert M.feature_set(mf) == config.ALL_FEATURES
+    both = mf.withColumns({c: F.lit(0.5) for c in config.CLIMATE_FEATURES})
+    assert M.feature_set(both) == config.ALL_FEATURES + config.CLIMATE_FEATURES and M.feature_set(both, False) == config.ALL_FEATURES
+
+
 def test_scoring_fills_missing_columns(spark, mf):
     model = M.fit(mf, "lr", maxIter=20)
     few = mf.select("id", "label", "split", "dti", "annual_inc", "fico_range_low", "int_rate", "installment")
