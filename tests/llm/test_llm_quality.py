@@ -186,8 +186,8 @@ def test_toxicity_of_odd_tables(spark, clashing, no_docs):
 
 def test_pipeline_stage_by_stage(spark, tmp_path):
     import corpus_pipeline
-    from test_llm_dedup import grams
-    from test_llm_native import plain_lines
+    from .test_llm_dedup import grams
+    from .test_llm_native import plain_lines
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
