@@ -1,6 +1,5 @@
 """Adapters, drift, climate features and the driver contract."""
 
-import math
 import random
 
 import pytest
@@ -105,8 +104,8 @@ def _series(spark, months, loc="10.0_20.0", sentinel_every=0):
     rows = []
     for m in range(months):
         ym = f"{2010 + m // 12}{m % 12 + 1:02d}"
-        t = 15 + 10 * math.sin(m / 6 * math.pi)
-        p = abs(3 * math.cos(m / 3)) + (10 if m % 17 == 0 else 0)
+        t = 8.0 + 2.5 * min(m % 12, 12 - m % 12) + 0.01 * m  # a triangle over the year on a slow rise
+        p = 40.0 + 7.0 * ((m * 5) % 11) - (30.0 if m % 23 == 4 else 0.0)  # rain in no order, now and then a dry month
         if sentinel_every and m % sentinel_every == 0:
             t = -999.0
         rows += [(loc, SC.T2M, ym, t), (loc, SC.PRECIP, ym, p)]
