@@ -132,16 +132,17 @@ def loan_climate_enriched(spark, sf_dir):
 def _feature_set_sql() -> str:
     names = {True: config.ALL_FEATURES + config.CLIMATE_FEATURES, False: config.ALL_FEATURES}
     rows = ", ".join(f"({str(on).lower()}, {i}, '{f}')" for on, fs in names.items() for i, f in enumerate(fs))
-    return f"SELECT * FROM (VALUES {rows}) AS t(climate, position, feature)"
+    return with_base(f"SELECT *, (SELECT count(*) FROM clean) AS n_loans FROM (VALUES {rows}) AS t(climate, position, feature)")
 
 
 @register("model_feature_set", _feature_set_sql, "P19")
 def model_feature_set(spark, sf_dir):
-    """The columns chosen for a model, with and without the climate columns of the enriched loans."""
+    """The columns chosen for a model of the enriched loans, with and without climate, and the number of loans."""
     enriched = K.enrich_climate(base.clean(spark, sf_dir), _features(spark, sf_dir))
     chosen = F.array(*[F.struct(F.lit(on).alias("climate"), F.lit(i).alias("position"), F.lit(f).alias("feature"))
                        for on in (True, False) for i, f in enumerate(model.feature_set(enriched, on))])
-    return enriched.limit(1).select(F.inline(chosen))
+    n = enriched.agg(F.count(F.lit(1)).alias("n_loans"))
+    return n.select(F.explode(chosen).alias("c"), "n_loans").select("c.*", "n_loans")
 
 
 # Locations that the stored table holds before the job (the same text in both engines).
