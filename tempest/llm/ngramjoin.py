@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempest.llm.batches import run_batches
+from tempest.llm.batches import run_batches, settings
 from tempest.llm.components import components
 from tempest.llm.text import WORD, whole
 from tempest.session import materialise, run_folder
@@ -50,6 +50,11 @@ MAX_HASHES = 128
 BLOCK_NODES = 512
 BLOCK_GRAMS = 1 << 21
 
+#: Spark puts a Bloom filter of the wanted keys (8 MB at most) before the shuffle of the texts.
+BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+         "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
+         "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+
 _WORD = re.compile(WORD)
 _CACHE = 1 << 20
 
@@ -215,13 +220,15 @@ def gram_sets(docs: DataFrame, wanted: DataFrame, folder: str, n: int = N) -> Da
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("id", "label", "blocks", "n_docs")] + [pa.array(parts, pa.binary())],
                                              ["id", "label", "blocks", "n_docs", "grams"])
 
-    w = wanted.select(F.col("key").alias("w_key"), "min_doc", "id", "label", "blocks", "n_docs")
+    # written, so that its keys can filter the texts before these are shuffled
+    w = materialise(wanted.select(F.col("key").alias("w_key"), "min_doc", "id", "label", "blocks", "n_docs"), folder, "wanted").where("blocks > 0")
     text = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text"))
     # one row of each text: of its copies the one with the smallest id, so copies spread over the tasks
     rows = text.join(w, (F.col("key") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("min_doc")))
     rows = rows.select("id", "label", "blocks", "n_docs", "text")
-    return run_batches(rows.mapInArrow(build, "id long, label long, blocks int, n_docs long, grams binary").dropDuplicates(["id"]),
-                       folder, "sets")
+    sets = rows.mapInArrow(build, "id long, label long, blocks int, n_docs long, grams binary").dropDuplicates(["id"])
+    with settings(docs.sparkSession, BLOOM):
+        return run_batches(sets, folder, "sets")
 
 
 def verify(sets: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
