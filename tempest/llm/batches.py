@@ -28,6 +28,13 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def slices(batches, rows: int = 256):
+    """The record batches of a task in pieces of at most ``rows`` rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def run_batches(df: DataFrame, folder: str, name: str) -> DataFrame:
     """``materialise`` for plans with Python in them: their Arrow batches stay small."""
     with settings(df.sparkSession, ARROW_CONF):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempest.llm.batches import run_batches
+from tempest.llm.batches import run_batches, slices
 from tempest.llm.text import whole
 from tempest.session import run_folder
 
@@ -188,26 +188,35 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+_LIVE: dict[str, object] = {}
+
+
+def _codec(tables: tuple) -> Codec:
+    """The worker's codec: tasks that follow each other in a worker share what it knows."""
+    if _LIVE.get("tables") is not tables:
+        _LIVE.update(tables=tables, codec=Codec(*tables))
+    return _LIVE["codec"]
+
+
 def tables(df: DataFrame, ranks_path: str, pattern: str):
     """The broadcast tokens, perfect hash and pattern."""
     tokens = read_ranks(ranks_path)
     return df.sparkSession.sparkContext.broadcast((tokens, PerfectHash(tokens), pattern))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, folder: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``docs`` with ``OUTPUT``, the ids of the whole text."""
     held = tables(docs, ranks_path, pattern)
     kept = [c for c in docs.columns if c != OUTPUT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*held.value)
-        for b in batches:
+        codec = _codec(held.value)
+        for b in slices(batches):
             ids = [codec.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(ids, pa.list_(pa.int32()))], [*kept, OUTPUT])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(OUTPUT, T.ArrayType(T.IntegerType()))])
-    return run_batches(docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema),
-                       folder or run_folder(docs.sparkSession, "bpe"), "encoded")
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -216,7 +225,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     kept = [c for c in encoded.columns if c != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             data = [b"".join(map(tokens.value.__getitem__, ids or ())) for ids in b.column(OUTPUT).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(data, pa.binary())], [*kept, "decoded"])
 
@@ -229,7 +238,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, folder: str | Non
     held = tables(docs, ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*held.value)
+        codec = _codec(held.value)
         digits = [str(i) for i in range(len(codec.tokens))]
         for b in batches:
             n, a, c = [], [], []

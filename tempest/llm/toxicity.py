@@ -2,8 +2,9 @@
 
 Terms are lower-cased words and the first 4, 5 and 6 letters of longer ones (inflected forms share
 them).  From the labelled examples the terms that speak for the label are chosen: those at least
-``LEAST_LIFT`` times as frequent in toxic examples, with a log-likelihood ratio above ``2 ln(number of candidate terms)``, at which about
-one term would pass by chance, the ``MAX_TERMS`` strongest at most.  Document frequencies are those of
+``LEAST_LIFT`` times as frequent in toxic examples, with a log-likelihood ratio above
+``2 ln(number of candidate terms)``, at which about one term would pass by chance, counted so that
+copies of a text count once, the ``MAX_TERMS`` strongest at most.  Document frequencies are those of
 the whole corpus.
 
 A document's neighbours are the ``K`` examples of largest cosine.  The index lists each term's examples
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempest.llm.batches import run_batches
+from tempest.llm.batches import run_batches, slices
 from tempest.llm.text import whole
 from tempest.session import materialise, run_folder
 
@@ -304,6 +305,7 @@ def _scored(docs: DataFrame, labels: DataFrame, k: int, max_examples: int, max_t
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     out = f"{{}} {{}}, payload {{}}, terms array<int>, counts array<int>"
     rows = docs.select("doc_id", "payload", whole(F.col("text")).alias("text"))
+    # the text (and what is to be kept of a document) is read once; all that follows reads this table
     rows = run_batches(rows.mapInArrow(vectors("doc_id"), out.format("doc_id", kinds["doc_id"], kinds["payload"])), folder, "vectors")
     total = rows.count()
     seen = {r["term"]: r["n"] for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -342,13 +344,13 @@ def _scored(docs: DataFrame, labels: DataFrame, k: int, max_examples: int, max_t
             return known[key]
 
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-        for b in batches:
+        for b in slices(batches):
             got = [of(t, c) for t, c in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("payload"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], kind)],
                                              ["doc_id", "payload", "score", "evidence"])
 
-    scored = run_batches(rows.mapInArrow(judge, f"doc_id {kinds['doc_id']}, payload {kinds['payload']}, score double, "
-                                         "evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>"), folder, "scored")
+    scored = rows.mapInArrow(judge, f"doc_id {kinds['doc_id']}, payload {kinds['payload']}, score double, "
+                             "evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
     return scored.select("doc_id", "payload", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
