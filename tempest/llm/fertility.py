@@ -92,6 +92,16 @@ class Encoders:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
+_LIVE: dict[str, object] = {}
+
+
+def _encoders(files: tuple[bytes, bytes], pattern: str) -> Encoders:
+    """The worker's encoders: tasks that follow each other in a worker share what they know."""
+    if _LIVE.get("files") is not files:
+        _LIVE.update(files=files, encoders=Encoders(*files, pattern))
+    return _LIVE["encoders"]
+
+
 def repeated_words(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Per text: words in windows that occur twice or more in it (``window``: a power of two).
 
@@ -165,7 +175,7 @@ def figures(docs: DataFrame, folder: str, ranks_path: str, pieces_path: str, pat
         files = docs.sparkSession.sparkContext.broadcast((a.read(), b.read()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoders(*files.value, pattern)
+        enc = _encoders(files.value, pattern)
         for b in batches:
             cols = measure(b.column("text").to_pylist(), enc)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *map(pa.array, cols)], ["doc_id", "lang", *NAMES])

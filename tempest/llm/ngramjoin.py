@@ -56,7 +56,7 @@ BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
          "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
 
 _WORD = re.compile(WORD)
-_CACHE = 1 << 20
+_CACHE = 1 << 17
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:

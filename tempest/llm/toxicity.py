@@ -58,7 +58,8 @@ BLOCK = 64
 FIRST_BLOCKS = 8
 EVIDENCE = 5
 PRIOR = (0.5, 2.0)  # toxic examples and examples that a share starts from
-_CACHE = 1 << 19
+_CACHE = 1 << 17
+_COUNTED = 1 << 19
 _WORD = re.compile(r"\w+")
 
 
@@ -128,7 +129,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             seen[y].update({t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)})
-        if len(seen[0]) + len(seen[1]) > _CACHE:
+        if len(seen[0]) + len(seen[1]) > _COUNTED:
             yield rows()
     yield rows()
 
