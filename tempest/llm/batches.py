@@ -10,8 +10,8 @@ from tempest.session import materialise
 
 # Very long texts: a batch ends at whichever bound is met first.
 ARROW_CONF = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
 }
 
 
