@@ -49,7 +49,6 @@ K = 15
 MAX_EXAMPLES = 10_000
 MAX_TERMS = 512
 MIN_DOCS = 3
-CANDIDATES = 8
 LEAST_LIFT = 2.0
 PREFIXES = (4, 5, 6)
 SOFT = 0.05
@@ -116,61 +115,49 @@ def _ratio(n0: float, n1: float):
     return F.when(a1 / n1 >= LEAST_LIFT * a0 / n0, g).otherwise(0.0)
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-
-    def rows() -> pa.RecordBatch:
-        keys = list(seen[0].keys() | seen[1].keys())
-        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in seen)], ["term", "n0", "n1"])
-        for c in seen:
-            c.clear()
-        return out
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(terms, context, toxic): the words around the first occurrence of every term in each text."""
+    def rows(found: set) -> pa.RecordBatch:
+        cols = list(zip(*found, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())],
+                                          ["terms", "context", "toxic"])
 
     for b in batches:
+        found: set[tuple[tuple[str, ...], str, int]] = set()
         for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            seen[y].update({t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)})
-        if len(seen[0]) + len(seen[1]) > _COUNTED:
-            yield rows()
-    yield rows()
-
-
-def choose_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
+            words = ["", *_WORD.findall(text.lower()), ""]
+            known: set[str] = set()
+            for i, w in enumerate(words[1:-1], 1):
+                if "=" + w not in known:
+                    mine = tuple(t for t in terms_of(w) if t not in known)
+                    known.update(mine)
+                    found.add((mine, f"{words[i - 1]} {w} {words[i + 1]}", y))
+            if len(found) > _COUNTED:
+                yield rows(found)
+                found.clear()
+        yield rows(found)
+
+
+def choose_terms(examples: DataFrame, max_terms: int = MAX_TERMS, folder: str | None = None) -> list[str]:
     """The terms that speak for the label, from (text, toxic).
 
-    Every word of a toxic text with many copies and near copies seems to: so the terms found by
-    documents are counted again by contexts (the words around a term's first occurrence in a
-    document), in which copies agree.
+    Every word of a toxic text with many copies and near copies seems to: so all terms are counted by
+    contexts (the words around a term's first occurrence in a document), in which copies agree, out of
+    the distinct texts of the class.
     """
-    total = {r["toxic"]: float(r["n"]) for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    folder = folder or run_folder(examples.sparkSession, "toxicity")
+    texts = examples.select("toxic", F.sha2(F.encode("text", "utf-8"), 256).alias("digest")).distinct()
+    total = {r["toxic"]: float(r["n"]) for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = total.get(0, 0.0), total.get(1, 0.0)
     if not n0 or not n1:
         return []
-    c = (examples.select("text", "toxic").mapInArrow(_count_terms, "term string, n0 long, n1 long")
-         .groupBy("term").agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1")).where(F.col("a0") + F.col("a1") >= MIN_DOCS))
-    c = c.select("term", _ratio(n0, n1).alias("g"))
-    # the strongest terms, some more than wanted, and how many candidates there were
-    first = c.orderBy(F.desc("g"), "term").limit(CANDIDATES * max_terms).collect()
-    least = 2 * np.log(max(c.count(), 2))
-    candidates = {r["term"] for r in first if r["g"] >= least}
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = set()
-            for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                words = ["", *_WORD.findall(text.lower()), ""]
-                mine: dict[str, str] = {}
-                for i, w in enumerate(words[1:-1], 1):
-                    for t in terms_of(w):
-                        if t in candidates and t not in mine:
-                            mine[t] = f"{words[i - 1]} {w} {words[i + 1]}"
-                rows.update((t, x, y) for t, x in mine.items())
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["term", "context", "toxic"])
-
-    d = (examples.select("text", "toxic").mapInArrow(contexts, "term string, context string, toxic int").distinct()
-         .groupBy("term").agg(F.sum(1 - F.col("toxic")).alias("a0"), F.sum("toxic").alias("a1")))
-    top = d.select("term", _ratio(n0, n1).alias("g")).orderBy(F.desc("g"), "term").limit(max_terms).collect()
-    return [r["term"] for r in top if r["g"] >= least]
+    c = (examples.select("text", "toxic").mapInArrow(_contexts, "terms array<string>, context string, toxic int")
+         .select(F.explode("terms").alias("term"), "context", "toxic").distinct()
+         .groupBy("term").agg(F.sum(1 - F.col("toxic")).alias("a0"), F.sum("toxic").alias("a1")).where(F.col("a0") + F.col("a1") >= MIN_DOCS))
+    c = run_batches(c.select("term", _ratio(n0, n1).alias("g")), folder, "terms")
+    least = float(2 * np.log(max(c.count(), 2)))
+    top = c.where(F.col("g") >= least).orderBy(F.desc("g"), "term").limit(max_terms).collect()
+    return [r["term"] for r in top]
 
 
 # ------------------------------------------------------------------ index
@@ -291,7 +278,7 @@ def _scored(docs: DataFrame, labels: DataFrame, k: int, max_examples: int, max_t
     examples = (docs.select(F.col("doc_id").cast("long").alias("id"), whole(F.col("text")).alias("text")).join(ids, F.col("id") == F.col("s_id"))
                 .groupBy("id").agg(F.min(F.struct("text", "toxic")).alias("e")).select("id", "e.text", "e.toxic"))
     examples = materialise(examples, folder, "examples")
-    chosen = choose_terms(examples, max_terms)
+    chosen = choose_terms(examples, max_terms, folder)
     number = spark.sparkContext.broadcast({t: i for i, t in enumerate(chosen)})
 
     def vectors(column: str):

@@ -172,6 +172,16 @@ def test_copies_of_one_text_teach_no_words(spark):
     assert "=insult" in chosen and "=special" not in chosen
 
 
+def test_copies_of_a_long_text_leave_room_for_words(spark):
+    """A long toxic text with many copies has more terms than are ever chosen; real signs are still found."""
+    rng = np.random.default_rng(5)
+    noise = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 400, n))
+    rare = ["".join(x) for x in rng.choice(list("abcdefghij"), (3000, 9))]
+    rows = [(" ".join(rare), 1)] * 300 + [(noise(20) + " insult " + noise(20), 1) for _ in range(60)] + [(noise(40), 0) for _ in range(400)]
+    chosen = toxicity.choose_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "=insult" in chosen and not {"=" + w for w in rare} & set(chosen)
+
+
 def test_toxicity_of_odd_tables(spark, clashing, no_docs):
     labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, None, None), (None, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.score(clashing, labels).collect()
