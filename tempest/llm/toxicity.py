@@ -1,11 +1,10 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words and the first 4, 5 and 6 letters of longer ones (inflected forms share
-them).  From the labelled examples the terms that speak for the label are chosen: those at least
-``LEAST_LIFT`` times as frequent in toxic examples, with a log-likelihood ratio above
-``2 ln(number of candidate terms)``, at which about one term would pass by chance, counted so that
-copies of a text count once, the ``MAX_TERMS`` strongest at most.  Document frequencies are those of
-the whole corpus.
+them).  From the labelled examples all terms that speak for the label are chosen: those more
+frequent in toxic examples, with a log-likelihood ratio above ``2 ln(number of candidate terms)``, at
+which about one term would pass by chance, counted so that copies of a text count once.  Document
+frequencies are those of the whole corpus; cosines are those over the chosen terms.
 
 A document's neighbours are the ``K`` examples of largest cosine.  The index lists each term's examples
 in blocks with the block's largest weight.  A query adds these up to a bound for every block, visits
@@ -16,8 +15,8 @@ each queried without itself (monotone, with the classes weighted as in all label
 come back as evidence.
 
 What is bounded: the classifier is fitted on at most ``MAX_EXAMPLES`` labelled documents of each class
-(chosen by a hash of the id).  With at most ``MAX_TERMS`` terms each, index and broadcast are under
-2 * MAX_EXAMPLES * MAX_TERMS postings of 12 bytes.  Texts are read once, whole.
+(chosen by a hash of the id).  Index and broadcast hold the chosen terms of these, a posting for each
+term of an example.  Texts are read once, whole.
 
 Only rows out of the held-out fold (crc32 of the id as text, mod 5, not 0) are examples.  The id picks
 fold and sample and never enters a score, nor do labels of the document, language or source.
@@ -47,9 +46,7 @@ from tempest.session import materialise, run_folder
 FOLDS = 5
 K = 15
 MAX_EXAMPLES = 10_000
-MAX_TERMS = 512
 MIN_DOCS = 3
-LEAST_LIFT = 2.0
 PREFIXES = (4, 5, 6)
 SOFT = 0.05
 BINS = 20
@@ -112,7 +109,7 @@ def _ratio(n0: float, n1: float):
         return F.when((seen > 0) & (expected > 0), seen * F.ln(seen / expected)).otherwise(0.0)
 
     g = 2 * (part(a1, both * toxic) + part(a0, both * (1 - toxic)) + part(n1 - a1, n1 - both * toxic) + part(n0 - a0, n0 - both * (1 - toxic)))
-    return F.when(a1 / n1 >= LEAST_LIFT * a0 / n0, g).otherwise(0.0)
+    return F.when(a1 / n1 > a0 / n0, g).otherwise(0.0)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +135,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(found)
 
 
-def choose_terms(examples: DataFrame, max_terms: int = MAX_TERMS, folder: str | None = None) -> list[str]:
+def choose_terms(examples: DataFrame, folder: str | None = None) -> list[str]:
     """The terms that speak for the label, from (text, toxic).
 
     Every word of a toxic text with many copies and near copies seems to: so all terms are counted by
@@ -156,8 +153,7 @@ def choose_terms(examples: DataFrame, max_terms: int = MAX_TERMS, folder: str |
          .groupBy("term").agg(F.sum(1 - F.col("toxic")).alias("a0"), F.sum("toxic").alias("a1")).where(F.col("a0") + F.col("a1") >= MIN_DOCS))
     c = run_batches(c.select("term", _ratio(n0, n1).alias("g")), folder, "terms")
     least = float(2 * np.log(max(c.count(), 2)))
-    top = c.where(F.col("g") >= least).orderBy(F.desc("g"), "term").limit(max_terms).collect()
-    return [r["term"] for r in top]
+    return [r["term"] for r in c.where(F.col("g") >= least).orderBy(F.desc("g"), "term").collect()]
 
 
 # ------------------------------------------------------------------ index
@@ -263,14 +259,14 @@ def calibrate(counts: np.ndarray, factor: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------ scores
 
-def score(docs: DataFrame, labels: DataFrame, k: int = K, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS,
+def score(docs: DataFrame, labels: DataFrame, k: int = K, max_examples: int = MAX_EXAMPLES,
           folder: str | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (doc_id, cosine, toxic of the nearest) of every row."""
-    return _scored(docs.select("doc_id", F.lit(None).cast("int").alias("payload"), "text"), labels, k, max_examples, max_terms,
+    return _scored(docs.select("doc_id", F.lit(None).cast("int").alias("payload"), "text"), labels, k, max_examples,
                    folder or run_folder(docs.sparkSession, "toxicity")).drop("payload")
 
 
-def _scored(docs: DataFrame, labels: DataFrame, k: int, max_examples: int, max_terms: int, folder: str) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, k: int, max_examples: int, folder: str) -> DataFrame:
     spark = docs.sparkSession
     ids, usable = sample(labels, folder, max_examples)
     # the sample's size is bounded, so it may be broadcast at any size of the corpus
@@ -278,7 +274,7 @@ def _scored(docs: DataFrame, labels: DataFrame, k: int, max_examples: int, max_t
     examples = (docs.select(F.col("doc_id").cast("long").alias("id"), whole(F.col("text")).alias("text")).join(ids, F.col("id") == F.col("s_id"))
                 .groupBy("id").agg(F.min(F.struct("text", "toxic")).alias("e")).select("id", "e.text", "e.toxic"))
     examples = materialise(examples, folder, "examples")
-    chosen = choose_terms(examples, max_terms, folder)
+    chosen = choose_terms(examples, folder)
     number = spark.sparkContext.broadcast({t: i for i, t in enumerate(chosen)})
 
     def vectors(column: str):
@@ -295,9 +291,18 @@ def _scored(docs: DataFrame, labels: DataFrame, k: int, max_examples: int, max_t
     rows = docs.select("doc_id", "payload", whole(F.col("text")).alias("text"))
     # the text (and what is to be kept of a document) is read once; all that follows reads this table
     rows = run_batches(rows.mapInArrow(vectors("doc_id"), out.format("doc_id", kinds["doc_id"], kinds["payload"])), folder, "vectors")
-    total = rows.count()
-    seen = {r["term"]: r["n"] for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = np.array([np.log((1.0 + total) / (1.0 + seen.get(i, 0))) + 1.0 for i in range(len(chosen))])
+    total, size = rows.count(), len(chosen)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for b in batches:
+            n += np.bincount(b.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=size)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["term", "n"])
+
+    seen = {} if not size else {r["term"]: r["n"] for r in rows.select("terms").mapInArrow(frequencies, "term int, n long")
+                                .groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    idf = np.array([np.log((1.0 + total) / (1.0 + seen.get(i, 0))) + 1.0 for i in range(size)])
     fitted = run_batches(examples.select("id", F.col("toxic").alias("payload"), "text").mapInArrow(vectors("id"), out.format("id", "long", "int")),
                          folder, "example-vectors").collect()
     fitted.sort(key=lambda r: r["id"])
@@ -345,7 +350,7 @@ def _scored(docs: DataFrame, labels: DataFrame, k: int, max_examples: int, max_t
 
 def reject(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents predicted toxic."""
-    options = {"k": K, "max_examples": MAX_EXAMPLES, "max_terms": MAX_TERMS} | options
+    options = {"k": K, "max_examples": MAX_EXAMPLES} | options
     whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     folder = run_folder(docs.sparkSession, "toxicity")
     return (_scored(docs.select("doc_id", whole_row.alias("payload"), "text"), labels, folder=folder, **options)

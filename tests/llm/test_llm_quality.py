@@ -182,6 +182,18 @@ def test_copies_of_a_long_text_leave_room_for_words(spark):
     assert "=insult" in chosen and not {"=" + w for w in rare} & set(chosen)
 
 
+def test_all_significant_terms_are_chosen(spark):
+    """Neither their number nor a lift below 2 keeps terms out."""
+    rng = np.random.default_rng(7)
+    signs = ["".join(x) for x in rng.choice(list("abcdefghij"), (400, 9))]
+    noise = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 400, n))
+    often = lambda share: " common " if rng.random() < share else " "
+    rows = [(noise(20) + often(0.8) + " ".join(rng.choice(signs, 100, replace=False)), 1) for _ in range(300)]
+    rows += [(noise(20) + often(0.5) + noise(20), 0) for _ in range(300)]
+    chosen = set(toxicity.choose_terms(spark.createDataFrame(rows, "text string, toxic int")))
+    assert {"=" + w for w in signs} <= chosen and "=common" in chosen
+
+
 def test_toxicity_of_odd_tables(spark, clashing, no_docs):
     labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, None, None), (None, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.score(clashing, labels).collect()
