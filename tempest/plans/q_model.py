@@ -226,9 +226,9 @@ def threshold_artifacts(spark, sf_dir):
 def tune_gbt(spark, sf_dir):
     """Seeded random search (3-fold stratified CV, parallel fits): CV AUC per candidate, the best one fitted again.
 
-    ``config.TUNING_QUERY_TRIALS`` candidates: each is three full fits.
+    ``config.TUNING_TRIALS`` candidates: each is three full fits.
     """
-    return M.tune_gbt(model_frame(spark, sf_dir), trials=config.TUNING_QUERY_TRIALS, folds=3, parallelism=6)
+    return M.tune_gbt(model_frame(spark, sf_dir), trials=config.TUNING_TRIALS, folds=3, parallelism=6)
 
 
 @register("tree_attribution", None, "M24")

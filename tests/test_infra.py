@@ -70,3 +70,13 @@ def test_upload_sinks_agree_and_summary_matches(spark):
     summary = E.queries()["batch_upload_summary"](spark, SF_SMALL).first()
     tiers = summary.n_low + summary.n_medium + summary.n_high + summary.n_critical
     assert summary.n_scored <= summary.n_input and tiers == summary.n_scored
+
+
+def test_tuning_query_searches_all_candidates(monkeypatch):
+    from tempest.plans import q_model
+
+    asked = {}
+    monkeypatch.setattr(q_model, "model_frame", lambda spark, sf_dir: None)
+    monkeypatch.setattr(q_model.M, "tune_gbt", lambda mf, **options: asked.update(options))
+    q_model.tune_gbt(None, None)
+    assert asked["trials"] == 75 and asked["folds"] == 3
