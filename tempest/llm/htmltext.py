@@ -1,8 +1,10 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that a block element is a line.  What is no article by its element, role or
-class (scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms, reader comments)
-leaves empty lines in its place.  The lengths of the lines are summed over sliding windows of
+Markup is stripped so that a block element is a line.  What is no article by its element, role,
+class or exact id (scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms, reader comments)
+leaves empty lines in its place.  A class token counts as a whole or as a compound of known names; inside
+an article such an element stays if it reads as text (long, mostly no links), save adverts, comments
+and the like.  The lengths of the lines are summed over sliding windows of
 ``WINDOW`` lines; where the sums surge above the threshold text begins, where they dive to nothing it
 ends, and the lines between surge and dive are kept.
 
@@ -51,11 +53,17 @@ LOOSE = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}
 NO_ARTICLE = set("""head nav aside footer form button select input object embed svg canvas audio video map dialog menu
 applet frame frameset""".split()) | RAW
 NO_ARTICLE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search tablist toolbar".split())
-#: Parts of a class or id.
+#: Class tokens, also joined to compounds with ``HOLDERS``, and exact ids.
 NO_ARTICLE_PARTS = set("""ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs captcha comment comments
 consent cookie cookies disclaimer disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice
 notices outbrain pager pagination popup promo promoted promotion related respond share sharing sidebar signup skip social
 sponsor sponsored subscribe taboola toolbar widget widgets""".split())
+HOLDERS = set("""area article articles bar block box btn button buttons container content bottom icons inner item items left
+links list main message outer page panel post posts primary right secondary section side site slot small text top unit wrap
+wrapper""".split())
+#: Names that need no look at the text, as its kind does not tell.
+CERTAIN = set("""ad ads advert advertisement advertising adverts captcha comment comments consent cookie cookies disqus gdpr
+outbrain respond sponsor sponsored taboola""".split())
 COMMENTS = {"comment", "comments", "disqus", "respond"}
 HEADERS = {"header", "site-header", "page-header", "top-header", "main-header", "siteheader", "pageheader"}
 
@@ -64,19 +72,46 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(text)}
 
 
-def no_article(name: str, attrs: str, within: bool) -> bool:
-    """Whether an element, by its start tag, is none of the article.  ``within``: inside article or main."""
+def boilerplate_parts(token: str) -> set[str]:
+    """The parts of a class token that name what is no article, if the whole token does."""
+    parts = set(_PART.findall(token))
+    found = parts & NO_ARTICLE_PARTS
+    return found if parts <= NO_ARTICLE_PARTS | HOLDERS else set()
+
+
+def no_article(name: str, attrs: str, within: bool) -> int:
+    """Whether an element, by its start tag, is none of the article: 0 no, 1 if its text agrees, 2 yes.
+    ``within``: inside article or main."""
     if name in NO_ARTICLE or name == "header" and not within:
-        return True
+        return 2
     if not attrs or attrs.isspace() or name in ("html", "body", "main"):
-        return False
+        return 0
     a = attributes(attrs)
     if "hidden" in a or a.get("role", "").lower() in NO_ARTICLE_ROLES or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
-        return True
-    names = f"{a.get('class', '')} {a.get('id', '')}".lower()
+        return 2
+    tokens, own = a.get("class", "").lower().split(), a.get("id", "").lower().strip()
+    found = set().union(*map(boilerplate_parts, tokens))
+    # ids of headings are made from their titles
+    if own in NO_ARTICLE_PARTS and not re.fullmatch("h[1-6]", name):
+        found.add(own)
     if name == "article":
-        return not COMMENTS.isdisjoint(_PART.findall(names))
-    return not NO_ARTICLE_PARTS.isdisjoint(_PART.findall(names)) or not HEADERS.isdisjoint(names.split())
+        return 0 if COMMENTS.isdisjoint(found) else 2
+    if not CERTAIN.isdisjoint(found) or not HEADERS.isdisjoint([*tokens, own]):
+        return 2
+    return (1 if within else 2) if found else 0
+
+
+def reads_as_text(html: str, tokens: list[re.Match], at: int, end: int) -> bool:
+    """Whether the markup from ``at`` to ``end`` holds more than ``THRESHOLD`` characters of text, most of it no links."""
+    free = linked = link = 0
+    for start, m in [*((t.start(), t) for t in tokens), (end, None)]:
+        n = len(" ".join(html[at:start].split()))
+        free, linked = free + (0 if link else n), linked + (n if link else 0)
+        if m is not None:
+            at = m.end()
+            if m[2] is not None and m[2].lower() == "a":
+                link = 0 if m[1] else 1
+    return free > THRESHOLD and free > linked
 
 
 class Lines:
@@ -138,6 +173,10 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
         if name in LOOSE and stack and stack[-1] == name:
             close(name)
         dropped = no_article(name, m[3], article + main > 0)
+        if dropped == 1 and name not in RAW and name not in VOID and not m[3].endswith("/"):
+            k, stop = end_of(tokens, i, name, stack, len(html))
+            last = k - 1 if k > i and tokens[k - 1].end() == stop else k
+            dropped = 0 if reads_as_text(html, tokens[i:last], at, tokens[last].start() if last < k else stop) else 2
         if name in RAW:
             # markup inside is text: look for the end tag in the page itself
             end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(html, at)

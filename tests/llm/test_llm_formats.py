@@ -188,6 +188,14 @@ def test_odd_pages(html, text):
     assert htmltext.extract(html) == text
 
 
+def test_names_made_from_headings_drop_no_text():
+    text = "A paragraph of the article that is long enough to be read as text, with some more words and no link at all."
+    page = (f'<article><section id="related-work"><h2 id="share-prices-fall">Prices</h2><p>{text}</section><p class="ad-hoc">Ad hoc.</p>'
+            f'<h2 id="notice">Notice</h2><div class="disclaimer"><p>{text}</div><div class="related-links"><a href="x">{text}</a></div>'
+            f'<div class="ad-slot">{text}</div><div class="share">Share</div><p>End.</article>')
+    assert htmltext.extract(page) == f"Prices {text} Ad hoc. Notice {text} End."
+
+
 def test_surge_and_dive_points():
     lengths = [0, 0, 5, 0, 0, 0, 50, 60, 0, 70, 0, 0, 0, 3, 0]
     assert htmltext.line_blocks(lengths) == [sum(lengths[i:i + 3]) for i in range(len(lengths))]
