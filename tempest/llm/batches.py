@@ -35,6 +35,12 @@ def slices(batches, rows: int = 256):
             yield b.slice(at, rows)
 
 
+def discard(spark: SparkSession, folder: str, name: str) -> None:
+    """Delete a table of the run folder that no later step reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run_batches(df: DataFrame, folder: str, name: str) -> DataFrame:
     """``materialise`` for plans with Python in them: their Arrow batches stay small."""
     with settings(df.sparkSession, ARROW_CONF):

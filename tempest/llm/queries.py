@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tempest.llm import bytebpe, exactdedup, fertility, htmltext, linededup, mixing, ngramjoin, roles, toxicity, warc
+from tempest.llm import bytebpe, exactdedup, fertility, htmltext, linededup, mixing, ngramjoin, ranked, roles, simhash, toxicity, vectorcode, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -174,3 +174,71 @@ SELECT doc_id, size, source_size, target,
        (whole + CASE WHEN q IS NOT NULL AND CAST(2 * upto - tied AS DOUBLE) < 2.0 * rest THEN 1 ELSE 0 END) * size AS taken
 FROM c
 """
+
+
+@query
+def op11_ranked_search(spark, sf_dir):
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+SQL["op11_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+n AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+c AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM n),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+i AS (SELECT q, item_id, unnest(list_distinct(w)) AS t FROM (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark)),
+v AS (SELECT q, item_id, i.t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM i JOIN f ON i.t = f.t CROSS JOIN c),
+s AS (
+  SELECT q, item_id, doc_id, p.r,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+  FROM v JOIN p ON v.t = p.t JOIN n ON n.r = p.r CROSS JOIN c GROUP BY q, item_id, doc_id, p.r),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+@query
+def op12_vector_code(spark, sf_dir):
+    return vectorcode.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(parts: int = vectorcode.PARTS, entries: int = vectorcode.ENTRIES, rounds: int = vectorcode.ROUNDS) -> str:
+    """Plain Lloyd rounds over (row, position, dimension, component), one pair of tables a round."""
+    steps = [f"""v AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (
+  SELECT r, (i - 1) // (n // {parts}) AS p, (i - 1) % (n // {parts}) AS j, CAST(floor(4096 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT r, embedding, len(embedding) AS n, unnest(range(1, len(embedding) + 1)) AS i FROM v)),
+b0 AS (SELECT p, r - 1 AS e, j, x AS c FROM x WHERE r <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (
+  SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT r, x.p AS p, e, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM x JOIN b{k} b ON x.p = b.p AND x.j = b.j GROUP BY r, x.p, e)
+  GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS (
+  SELECT b.p, b.e, b.j, CAST(coalesce(floor_mean, c) AS BIGINT) AS c FROM b{k} b LEFT JOIN (
+    SELECT p, e, j, (s - ((s % n) + n) % n) // n AS floor_mean FROM (
+      SELECT x.p AS p, e, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+      FROM x JOIN a{k} a ON x.r = a.r AND x.p = a.p GROUP BY x.p, e, j)) m
+  ON b.p = m.p AND b.e = m.e AND b.j = m.j)""")
+    return "WITH " + ",\n".join(steps) + f""",
+o AS (SELECT r, string_agg(lpad(to_hex(e), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+s AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN o ON v.r = o.r CROSS JOIN s
+"""
+
+
+SQL["op12_vector_code"] = _lloyd_sql()
+
+
+@query
+def op13_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
