@@ -333,7 +333,7 @@ def _verify_units(key, i, j, probe, fp, size, label, radius: int):
         some, n = asking[at:to], n_pairs[at:to]
         p = np.repeat(some, n)
         x = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[unit[some]], n)
-        good = np.bitwise_count(fp[p] ^ fp[x]) <= radius
+        good = np.bitwise_count((fp[p] ^ fp[x]).view(np.uint64)) <= radius
         p, x = p[good], x[good]
         good = (size[p] < size[x]) | ((size[p] == size[x]) & (label[p] < label[x]))
         if good.any():
@@ -344,13 +344,13 @@ def _verify_units(key, i, j, probe, fp, size, label, radius: int):
 def verify(rows: DataFrame, folder: str, unit: int = UNIT, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between components, from (key, probe, fp, size, label)."""
     full = rows.groupBy("key").agg(F.count_if(~F.col("probe")).alias("n_i"), F.count_if("probe").alias("n_p"))
-    full = full.where((F.col("n_i") > 0) & (F.col("n_p") > 0) & (F.greatest("n_i", "n_p") > unit))
+    full = full.where(F.greatest("n_i", "n_p") > unit)
     full = materialise(full.select(F.col("key").alias("h_key"), F.ceil(F.col("n_i") / unit).cast("int").alias("b_i"),
                                    F.ceil(F.col("n_p") / unit).cast("int").alias("b_p")), folder, "full-keys")
     # a row of a full key goes to one block of its own side and meets all blocks of the other side
     mine = F.pmod(F.xxhash64("fp"), F.when(F.col("probe"), F.col("b_p")).otherwise(F.col("b_i"))).cast("int")
     other = F.sequence(F.lit(0), F.when(F.col("probe"), F.col("b_i")).otherwise(F.col("b_p")) - 1)
-    dealt = rows.join(full, F.col("key") == F.col("h_key"), "left")
+    dealt = rows.join(full, F.col("key") == F.col("h_key"), "left").where("coalesce(b_i, 1) > 0 and coalesce(b_p, 1) > 0")
     dealt = dealt.withColumn("mine", F.coalesce(mine, F.lit(0))).withColumn("other", F.explode(F.coalesce(other, F.array(F.lit(0)))))
     units = dealt.select("key", F.when(F.col("probe"), F.col("other")).otherwise(F.col("mine")).alias("i"),
                          F.when(F.col("probe"), F.col("mine")).otherwise(F.col("other")).alias("j"), "probe", "fp", "size", "label")

@@ -174,7 +174,6 @@ def test_codes_equal_brute_force(spark, monkeypatch, members):
 def test_codes_of_few_rows(spark):
     assert vectorcode.compress(spark.createDataFrame([], VECTORS)).count() == 0
     assert vectorcode.compress(spark.createDataFrame([(1, None, 2)], VECTORS)).columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
-    rows = vector_rows(3)[:3]
     rows = [r for r in vector_rows(25) if r[0] in (0, 3, 6)]
     assert code_rows(vectorcode.compress(spark.createDataFrame(rows, VECTORS))) == plain_codes(rows)
 
