@@ -13,23 +13,28 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempest import config
 from tempest.functions import columns as C
 from tempest.operators import cleaning, evaluate as E
+from tempest.operators import isotonic, trees
 from tempest.session import cut_lineage, materialise, run_folder
+from tempest.sources.keyed import KeyedTable
+
+#: Rows of a task of a fit.
+ROWS_PER_TASK = 50_000
 
 FEATURES = list(config.ALL_FEATURES)
 
@@ -83,24 +88,31 @@ def gbt(max_iter: int = config.GBT_PARAMS["maxIter"], max_depth: int = config.GB
 def fit(mf: DataFrame, kind: str = "gbt", features: Sequence[str] = FEATURES, **params) -> PipelineModel:
     """Fit one of 'gbt' (M3), 'lr' (M4), 'rf' (M5) on the training split."""
     train = mf.where(F.col("split") == "train")
-    stages = [imputer_stage(train, features), _assembler(features, "raw_features" if kind == "lr" else "features")]
+    ready = [imputer_stage(train, features), _assembler(features, "raw_features" if kind == "lr" else "features")]
+    prepared = Pipeline(stages=ready).fit(train)
+    fitted = _estimator(kind, by_rows(prepared.transform(train)), **params)
+    return PipelineModel([*prepared.stages, *fitted.stages])
+
+
+def by_rows(df: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """As many partitions as the number of rows asks for: tree fits run a job a level, so tasks without work cost most."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
+def _estimator(kind: str, assembled: DataFrame, **params) -> PipelineModel:
+    """The stages behind the assembled features, fitted on ``assembled`` (label, split, features)."""
     if kind == "gbt":
-        data = weighted(train, "pos")
-        stages.append(gbt(**params))
-    elif kind == "lr":
-        data = weighted(train, "balanced")
-        stages += [StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-                   LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
-                                      maxIter=params.get("maxIter", 1000))]
-    elif kind == "rf":
-        data = weighted(train, "balanced")
-        stages.append(RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                                             numTrees=params.get("numTrees", config.RF_PARAMS["numTrees"]),
-                                             maxDepth=params.get("maxDepth", config.RF_PARAMS["maxDepth"]),
-                                             seed=config.RANDOM_STATE))
-    else:
-        raise ValueError(f"unknown model kind {kind!r}")
-    return Pipeline(stages=stages).fit(data)
+        return Pipeline(stages=[gbt(**params)]).fit(weighted(assembled, "pos"))
+    if kind == "lr":
+        return Pipeline(stages=[StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+                                LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
+                                                   maxIter=params.get("maxIter", 1000))]).fit(weighted(assembled, "balanced"))
+    if kind == "rf":
+        forest = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
+                                        numTrees=params.get("numTrees", config.RF_PARAMS["numTrees"]),
+                                        maxDepth=params.get("maxDepth", config.RF_PARAMS["maxDepth"]), seed=config.RANDOM_STATE)
+        return Pipeline(stages=[forest]).fit(weighted(assembled, "balanced"))
+    raise ValueError(f"unknown model kind {kind!r}")
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
@@ -114,11 +126,9 @@ def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
               *[f"{f}__i" for f in FEATURES])
 
 
-def calibrate(model: PipelineModel, mf: DataFrame):
+def calibrate(model: PipelineModel, mf: DataFrame) -> isotonic.Isotonic:
     """M9: isotonic map from raw score to default share, fitted on the calibration split."""
-    cal = score(model, mf.where(F.col("split") == "calib"), "p_raw")
-    iso = IsotonicRegression(featuresCol="p_raw", labelCol="label", predictionCol="p_cal", isotonic=True)
-    return iso.fit(cal.select("p_raw", F.col("label").cast("double").alias("label")))
+    return isotonic.fit(score(model, mf.where(F.col("split") == "calib"), "p_raw"))
 
 
 def calibrated_scores(model: PipelineModel, iso, df: DataFrame) -> DataFrame:
@@ -133,26 +143,37 @@ def with_folds(train: DataFrame, folds: int, seed: int) -> DataFrame:
     return cut_lineage(train.join(fold, "id"))
 
 
-def cv_auc(mf: DataFrame, kind: str = "gbt", folds: int = config.CV_FOLDS, parallelism: int = 2,
-           **params) -> DataFrame:
-    """M7: k-fold AUC on the training rows, folds stratified (rank within class mod k)."""
-    train = mf.where(F.col("split") == "train")
-    data = weighted(with_folds(train, folds, config.RANDOM_STATE + 1), "pos" if kind == "gbt" else "balanced")
-    stages = [imputer_stage(train, FEATURES), _assembler(FEATURES)]
-    if kind == "gbt":
-        est = gbt(max_iter=params.get("maxIter", config.GBT_PARAMS["maxIter"]),
-                  max_depth=params.get("maxDepth", config.GBT_PARAMS["maxDepth"]),
-                  step=params.get("stepSize", config.GBT_PARAMS["stepSize"]))
-    else:
-        est = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=1000)
-    ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC",
-                                       numBins=0)
-    cv = CrossValidator(estimator=Pipeline(stages=stages + [est]), estimatorParamMaps=ParamGridBuilder().build(),
-                        evaluator=ev, foldCol="fold", numFolds=folds, parallelism=parallelism,
-                        collectSubModels=False)
-    res = cv.fit(data)
-    m, sd = res.avgMetrics[0], (res.stdMetrics[0] if res.stdMetrics else 0.0)
-    return mf.sparkSession.createDataFrame([(kind, folds, float(m), float(sd))], "model string, folds int, cv_auc_mean double, cv_auc_std double")
+def cv_folds(mf: DataFrame, kind: str, name: str, book: KeyedTable, folds: int = config.CV_FOLDS, parallelism: int = 2,
+             features: Sequence[str] = FEATURES, **params) -> DataFrame:
+    """M7 for the Spark ML models: the ledger's row of every fold; folds it lacks are fitted, each written as it ends.
+
+    Features are imputed and assembled once for all folds.
+    """
+    spark = mf.sparkSession
+    setting = json.dumps({"kind": kind, **params}, sort_keys=True)
+    asked = spark.createDataFrame([(name, setting, 0, f) for f in range(folds)], "model string, setting string, n_trees int, fold int")
+    todo = [r["fold"] for r in book.missing(asked).collect()]
+    if todo:
+        train = mf.where(F.col("split") == "train")
+        ready = Pipeline(stages=[imputer_stage(train, features), _assembler(features, "raw_features" if kind == "lr" else "features")]).fit(train)
+        dealt = ready.transform(with_folds(train, folds, config.RANDOM_STATE + 1))
+        data = materialise(dealt.select("label", "split", "fold", "raw_features" if kind == "lr" else "features"),
+                           run_folder(spark, "cv"), "assembled")
+
+        def one(fold: int):
+            began = time.perf_counter()
+            fitted = _estimator(kind, data.where(F.col("fold") != fold), **params)
+            scored = fitted.transform(data.where(F.col("fold") == fold)).select("label", vector_to_array("probability")[1].alias("score"))
+            row = E.auc(scored).first()
+            return fold, float(row["auc"]), time.perf_counter() - began
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            for done in as_completed([pool.submit(inheritable_thread_target(spark)(one), f) for f in todo]):
+                fold, auc, seconds = done.result()
+                n = data.where(F.col("fold") == fold).count()
+                book.upsert(spark.createDataFrame([(name, setting, fold, 0, auc, n, seconds)],
+                                                  "model string, setting string, fold int, n_trees int, auc double, n_rows long, seconds double"))
+    return book.read().join(F.broadcast(asked), ["model", "setting", "n_trees", "fold"])
 
 
 def test_metrics(model: PipelineModel, mf: DataFrame, name: str, iso=None, seconds: float | None = None) -> DataFrame:
@@ -189,7 +210,9 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequ
 
     One permutation of the rows per repeat serves all features: row k (in the order of ids) gets its
     donor, the row at place k of a seeded order.  Only (repeat, id, donor) is shuffled for that; the
-    donor's row is joined once per repeat and the features fan out after the join.
+    donor's row is joined once per repeat.  For boosted trees only the trees that use a feature are
+    rescored for it (``trees.shuffled_scores``) and a feature in no tree has importance 0; for other models
+    the features fan out after the join.
     """
     base = score(model, test, "p")
     base_auc = E.auc(base.select("label", F.col("p").alias("score"))).select(F.col("auc").alias("base_auc"))
@@ -203,19 +226,28 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequ
         .select("rep", F.col("id").alias("donor_id"), F.col("_one_before").alias("pos"))
     donor_row = test.select(F.col("id").alias("donor_id"), *[F.col(f).alias(f"_d_{f}") for f in features])
     wide = place.join(donors, "pos").join(test, "id").join(donor_row, "donor_id")
-    fan = wide.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
-    shuffled = fan.select(*[c for c in test.columns if c not in features], "feature", "rep",
-                          *[F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features])
-    rescored = score(model, shuffled, "p")
-    sc = cut_lineage(rescored.groupBy("feature", "rep", F.col("p").alias("score")).agg(
+    if isinstance(model.stages[-1], GBTClassificationModel):
+        rescored = trees.shuffled_scores(model, wide, features)
+    else:
+        rescored = _fanned_scores(model, wide, test.columns, features)
+    sc = cut_lineage(rescored.groupBy("feature", "rep", "score").agg(
         F.sum(F.col("label")).alias("n_pos"), F.sum(1 - F.col("label")).alias("n_neg")))
     pre = E.prefix_sums(sc, "score", ["n_pos", "n_neg"], partition_cols=["feature", "rep"])
     per_copy = pre.groupBy("feature", "rep").agg(
         (F.sum(F.col("n_pos") * (F.col("n_neg_before") + F.col("n_neg") * 0.5))
          / (F.sum("n_pos") * F.sum("n_neg"))).alias("auc"))
     drops = per_copy.withColumn("drop", base_auc.scalar() - F.col("auc"))
-    return drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"),
-                                        F.stddev_pop("drop").alias("importance_std"))
+    found = drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
+    every = test.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return every.join(found, "feature", "left").na.fill(0.0, ["importance_mean", "importance_std"])
+
+
+def _fanned_scores(model: PipelineModel, wide: DataFrame, columns: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """(feature, rep, label, score): every row rescored with each of its features taken from its donor."""
+    fan = wide.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    shuffled = fan.select(*[c for c in columns if c not in features], "feature", "rep",
+                          *[F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features])
+    return score(model, shuffled, "score").select("feature", "rep", "label", "score")
 
 
 def linear_attribution(model: PipelineModel, df: DataFrame, top: int = 12,
@@ -259,53 +291,6 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def random_param_maps(est: GBTClassifier, trials: int = config.TUNING_TRIALS, seed: int = config.RANDOM_STATE):
-    """M8: seeded random draws over the tuning space (log-uniform for the step size).
-
-    The method's sequential model-based sampler is not rebuilt; independent
-    draws give the same search space to ``CrossValidator``, which fits the
-    candidates in parallel.  Iterations come in steps of 50.  Spark's trees
-    have no L1 / L2 penalty on leaf weights, so these two parameters are left out.
-    """
-    import math
-    import random
-    rnd = random.Random(seed)
-    space = config.TUNING_SPACE
-    maps = []
-    for _ in range(trials):
-        lo, hi = space["stepSize"]
-        maps.append({
-            est.maxDepth: rnd.randint(*space["maxDepth"]),
-            est.stepSize: math.exp(rnd.uniform(math.log(lo), math.log(hi))),
-            est.maxIter: rnd.randrange(space["maxIter"][0], space["maxIter"][1] + 1, 50),
-            est.subsamplingRate: rnd.uniform(*space["subsamplingRate"]),
-            est.featureSubsetStrategy: f"{rnd.uniform(*space['featureSubsetStrategy']):.3f}",
-            est.minInstancesPerNode: rnd.randint(*space["minInstancesPerNode"]),
-        })
-    return maps
-
-
-def tune_gbt(mf: DataFrame, trials: int = config.TUNING_TRIALS, folds: int = 3, parallelism: int = 4,
-             seed: int = config.RANDOM_STATE) -> DataFrame:
-    """M8: one row per trial with its mean CV AUC on the training rows; the best trial is fitted again on
-    all training rows and has its test AUC (others null)."""
-    train = mf.where(F.col("split") == "train")
-    data = weighted(with_folds(train, folds, seed + 1), "pos")
-    est = gbt()
-    maps = random_param_maps(est, trials, seed)
-    ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", numBins=0)
-    cv = CrossValidator(estimator=Pipeline(stages=[imputer_stage(train, FEATURES), _assembler(FEATURES), est]),
-                        estimatorParamMaps=maps, evaluator=ev, foldCol="fold", parallelism=parallelism)
-    res = cv.fit(data)
-    best = max(range(len(maps)), key=lambda i: res.avgMetrics[i])
-    scored = score(res.bestModel, mf.where(F.col("split") == "test"), "p")  # CrossValidator has fitted it again
-    test_auc = E.auc(scored.select("label", F.col("p").alias("score"))).first().auc
-    rows = [(i, float(m), *(str(pm[p]) for p in (est.maxDepth, est.stepSize, est.maxIter)), float(test_auc) if i == best else None)
-            for i, (m, pm) in enumerate(zip(res.avgMetrics, maps))]
-    return mf.sparkSession.createDataFrame(
-        rows, "trial int, cv_auc double, maxDepth string, stepSize string, maxIter string, test_auc double")
-
-
 def sampled_shapley(model: PipelineModel, rows: DataFrame, background: DataFrame, samples: int = 8,
                     features: Sequence[str] = FEATURES, seed: int = config.RANDOM_STATE) -> DataFrame:
     """M24 for tree models: permutation-sampling Shapley values in log-odds, per row and feature.
@@ -352,6 +337,13 @@ def sampled_shapley(model: PipelineModel, rows: DataFrame, background: DataFrame
         (F.sum(F.col("_side") * logit) / F.lit(float(samples))).alias("contribution"))
 
 
+def tree_attribution(model: PipelineModel, rows: DataFrame, background: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """M24 for tree models: (id, c: array of feature and exact contribution to the log-odds)."""
+    return trees.exact_shapley(model, rows, background, features)
+
+
 def top_attributions(attr: DataFrame, top: int = 12) -> DataFrame:
-    """Per row the ``top`` features by absolute contribution."""
-    return _ranked(attr.groupBy("id").agg(F.collect_list(F.struct("feature", "contribution")).alias("c")), top)
+    """Per row the ``top`` features by absolute contribution, from (id, c) or (id, feature, contribution)."""
+    if "c" not in attr.columns:
+        attr = attr.groupBy("id").agg(F.collect_list(F.struct("feature", "contribution")).alias("c"))
+    return _ranked(attr, top)

@@ -131,15 +131,17 @@ def score_cpd(
     ead_mode: str = "api",
     impute_income: bool = True,
     sector_col: str | None = None,
+    price: Column | None = None,
 ) -> DataFrame:
     """Physical overlay, transition overlay, uplift %, tier and expected loss.
 
     ``hazard`` is ``"static"`` (J1) or a climate feature table (R4).  Without
     an ``addr_state`` column the physical overlay is skipped, without
     ``purpose`` the transition overlay is skipped (as in the method).
+    ``price`` replaces the scenario's carbon price, row by row.
     Adds ``CPD``, ``PD_Uplift_Pct``, ``Risk_Category``, ``EAD``, ``Expected_Loss``.
     """
-    price = dims.scenario_price(scenario)
+    price = dims.scenario_price(scenario) if price is None else price
     out = df
     if "addr_state" in df.columns:
         out = (with_static_hazard(out) if isinstance(hazard, str)

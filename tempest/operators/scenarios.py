@@ -124,32 +124,50 @@ def ablation(inputs: DataFrame, scenario: str = "orderly", severity: float = con
     )
 
 
+#: The modulus of the draws: a prime below 2^31, so every product of two residues fits a BIGINT.
+DRAW_MODULUS = 2_147_483_647
+
+
+def draw_steps(row: str, counter: str, seed: int) -> list[tuple[str, str]]:
+    """A counter-based generator as SQL text that Spark and other engines read alike: (name, expression) in order.
+
+    Residues of (row, counter) are mixed by squares and products; ``x3`` and ``x5`` are two draws below
+    ``DRAW_MODULUS``.  Any row's draw can be had on its own, in any order and on any task.
+    """
+    m = DRAW_MODULUS
+    return [("x0", f"(({row} % {m}) * 48271 + {counter} * 16807 + {seed}) % {m}"),
+            ("x1", f"(x0 * x0 + 1013904223) % {m}"),
+            ("x2", f"(x1 * 630360016 + x0) % {m}"),
+            ("x3", f"(x2 * x2 + x1) % {m}"),
+            ("x4", f"(x3 * 742938285 + x2) % {m}"),
+            ("x5", f"(x4 * x4 + x3) % {m}")]
+
+
 def proxy_sensitivity(inputs: DataFrame, error_rates=(0.10, 0.20, 0.30), trials: int = 100,
                       seed: int = config.RANDOM_STATE, scenario: str = "orderly",
                       severity: float = config.SEVERITY_FACTOR) -> DataFrame:
     """Replace the transition factor of a random share of loans by a random
     distinct factor; mean and population std over trials of the mean |CPD change|.
 
-    Draws are digits of md5(loan|trial|percent|seed), so any engine can repeat them; the replacement
-    factor is picked from the distinct intensities (an array with at most one
-    entry per sector, so its size is bounded by the sector dimension).
-    Two-level aggregation: per (trial, rate) mean, then per rate mean/std.
+    What a loan's CPD changes by under each factor is computed once a loan (the distinct intensities are an
+    array with at most one entry per sector).  A (loan, trial) is then two draws of a counter-based
+    generator: the first decides for all rates (a loan replaced at 10 % is replaced at 20 % too), the second
+    picks the factor.  The fan-out is aggregated by trial before any shuffle.
     """
     price = dims.scenario_price(scenario)
     factors = inputs.agg(F.array_sort(F.collect_set("emission_intensity")).alias("f")) \
         .select("f").scalar()
-    grid = F.array(*[F.struct(F.lit(t).alias("trial"), F.lit(round(100 * r)).alias("percent"))
-                     for t in range(trials) for r in error_rates])
-    fan = inputs.select("loan_id", "Baseline_PD", "hazard", "emission_intensity", "annual_inc") \
-        .withColumn("_g", F.explode(grid)).select("*", "_g.*").drop("_g")
-    digits = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("loan_id", "trial", "percent")], F.lit(str(seed))))
-    u1, u2 = (F.conv(F.substring(digits, at, 13), 16, 10).cast("double") / float(1 << 52) for at in (1, 14))
-    fan = fan.withColumn("rate", F.col("percent") / 100.0)
-    pick = F.element_at(factors, (F.floor(u2 * F.size(factors)) + 1).cast("int"))
-    new_int = F.when(u1 < F.col("rate"), pick).otherwise(F.col("emission_intensity"))
     phys = overlay.physical_pd("Baseline_PD", "hazard", severity)
     base_cpd = overlay.transition_pd(phys, "emission_intensity", "annual_inc", price)
-    err_cpd = overlay.transition_pd(phys, new_int, "annual_inc", price)
-    per_trial = fan.groupBy("rate", "trial").agg(F.avg(F.abs(err_cpd - base_cpd)).alias("mae"))
-    return per_trial.groupBy("rate").agg(F.avg("mae").alias("mean_abs_cpd_change"),
-                                         F.stddev_pop("mae").alias("std_abs_cpd_change"))
+    changes = F.transform("_factors", lambda f: F.abs(overlay.transition_pd(phys, f, "annual_inc", price) - base_cpd))
+    fan = inputs.withColumn("_factors", factors).select("loan_id", base_cpd.isNotNull().alias("_counts"), changes.alias("_changes")) \
+        .withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    for name, text in draw_steps("loan_id", "trial", seed):
+        fan = fan.withColumn(name, F.expr(text))
+    change = F.element_at("_changes", (F.floor(F.col("x5") * F.size("_changes") / float(DRAW_MODULUS)) + 1).cast("int"))
+    means = [F.avg(F.when(F.col("_counts"), F.when(F.col("x3") < r * DRAW_MODULUS, change).otherwise(C.lit_d(0.0)))).alias(f"r_{round(100 * r)}")
+             for r in error_rates]
+    per_trial = fan.groupBy("trial").agg(*means)
+    long = per_trial.unpivot(["trial"], [f"r_{round(100 * r)}" for r in error_rates], "name", "mae")
+    return long.groupBy((F.substring("name", 3, 9).cast("int") / 100.0).alias("rate")).agg(
+        F.avg("mae").alias("mean_abs_cpd_change"), F.stddev_pop("mae").alias("std_abs_cpd_change"))

@@ -11,7 +11,7 @@ from tempest.operators import model, overlay
 from tempest.plans import base
 from tempest.plans.catalog import finish, r, register
 from tempest.plans.sqlbase import strip_sql, with_base
-from tempest.session import run_folder
+from tempest.session import materialise, run_folder
 from tempest.sources import climate as CS
 from tempest.sources.climate import fixture_climate, fixture_climate_sql
 
@@ -173,7 +173,9 @@ def climate_table_append(spark, sf_dir):
     observed = CS.read_climate_json(spark, f"{run}/json")
     table = f"{run}/features"
     CS.append_features(K.climate_features(observed).where(NORTH).withColumn("appended", F.lit(False)), table)
-    missing = K.missing_locations(K.requested_locations(base.clean(spark, sf_dir)), CS.read_feature_table(spark, table))
+    missing = CS.feature_table(spark, table).missing(K.requested_locations(base.clean(spark, sf_dir)))
     new = K.climate_features(observed.join(missing.select("loc_key"), "loc_key", "left_semi"))
-    CS.append_features(new.withColumn("appended", F.lit(True)), table)
+    new = materialise(new.withColumn("appended", F.lit(True)), run, "new")
+    for _ in range(2):  # a job that is repeated changes nothing
+        CS.append_features(new, table)
     return finish(CS.read_feature_table(spark, table).select("loc_key", "physical_risk_score", "appended"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tempest.operators import evaluate as E
+from tempest.operators import isotonic
 from tempest.plans import base
 from tempest.plans.catalog import finish, fixed_round, r, register
 from tempest.plans.sqlbase import with_labels
@@ -281,3 +282,15 @@ SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(label) AS BIGINT) AS n_pos, CAST(
 FROM labels"""), "M2 A11")
 def class_weights_q(spark, sf_dir):
     return finish(E.class_weights(base.scored_labels(spark, sf_dir)))
+
+
+@register("isotonic_calibration", lambda: with_labels(f"""WITH d AS (SELECT p_a AS score, sum(label) AS pos, count(*) AS n FROM labels WHERE p_a IS NOT NULL GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY score) AS i, sum(pos) OVER (ORDER BY score) AS cp, sum(n) OVER (ORDER BY score) AS cn FROM d),
+m AS (SELECT a.i AS i, b.i AS k, CAST(b.cp - a.cp + a.pos AS DOUBLE) / (b.cn - a.cn + a.n) AS mean FROM o a JOIN o b ON a.i <= b.i),
+inner_min AS (SELECT i, k, min(mean) OVER (PARTITION BY i ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS least FROM m),
+v AS (SELECT k AS i, max(least) AS value FROM inner_min WHERE i <= k GROUP BY k)
+SELECT {r('min(score)')} AS lo, {r('max(score)')} AS hi, CAST(sum(n) AS BIGINT) AS n, {r('value')} AS value
+FROM o JOIN v ON o.i = v.i GROUP BY value"""), "M9")
+def isotonic_calibration(spark, sf_dir):
+    """Steps of the isotonic regression of the default flag on the scorecard PD; in SQL by the max-min formula."""
+    return finish(isotonic.pools(base.scored_labels(spark, sf_dir), "label", "p_a"))

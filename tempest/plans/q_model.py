@@ -7,29 +7,39 @@ the SQL-checked evaluation queries of step 8.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempest import config
 from tempest.operators import adapters as A
 from tempest.operators import batch as B
+from tempest.operators import boosting
 from tempest.operators import evaluate as E
 from tempest.operators import model as M
 from tempest.plans import base
 from tempest.plans.catalog import register
 from tempest.plans.sqlbase import cpd_sql, tier_sql, with_base
-from tempest.session import cut_lineage, materialise, run_folder
+from tempest.session import checkpoint_dir, cut_lineage, files_state, materialise, run_folder
 from tempest.sources import adapters as src
 from tempest.sources import dims
 
+#: The tables that the loans are made from.
+LOAN_TABLES = ("orders", "customer", "lineitem")
+
+_FRAMES: dict[tuple, DataFrame] = {}
+_FITTED: dict[tuple, object] = {}
+
 
-_FRAMES: dict[tuple[str, str], DataFrame] = {}
-_FITTED: dict[tuple, tuple] = {}
+def _key(spark, sf_dir, *what):
+    """Names what is kept: by session, folder and state of the input files, so a changed table is read again."""
+    return spark.sparkContext.applicationId, sf_dir, files_state(spark, sf_dir, LOAN_TABLES), *what
 
 
 def model_frame(spark, sf_dir):
     """Cleaned loans as (id, label, 38 features, split), checkpointed once a session: every job reads it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _key(spark, sf_dir)
     if key not in _FRAMES:
         _FRAMES[key] = cut_lineage(M.model_frame(base.clean(spark, sf_dir)))
     return _FRAMES[key]
@@ -37,12 +47,25 @@ def model_frame(spark, sf_dir):
 
 def fitted(spark, sf_dir, kind, **params):
     """(model, seconds) of one kind of model on the frame: fitted once a session, used by all its jobs."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind, *sorted(params.items()))
+    key = _key(spark, sf_dir, kind, *sorted(params.items()))
     if key not in _FITTED:
         _FITTED[key] = M.timed_fit(model_frame(spark, sf_dir), kind, **params)
     return _FITTED[key]
 
 
+def blocks(spark, sf_dir, folds):
+    """The frame's rows binned and packed for boosting, once a session."""
+    key = _key(spark, sf_dir, "blocks", folds)
+    if key not in _FITTED:
+        _FITTED[key] = boosting.binned_blocks(model_frame(spark, sf_dir), M.FEATURES, folds, run_folder(spark, "boosting"))
+    return _FITTED[key]
+
+
+def trial_ledger(spark, sf_dir):
+    """The ledger of trials on these loans.  It lies in the shared checkpoint folder and outlives the session."""
+    return boosting.ledger(spark, f"{checkpoint_dir(spark).rstrip('/')}/tempest-trials/{files_state(spark, sf_dir, LOAN_TABLES)}")
+
+
 @register("fit_gbt", None, "M3 M2 M1 M11 M12")
 def fit_gbt(spark, sf_dir):
     """Boosted trees on the training split; test AUC, Brier and fit time."""
@@ -68,15 +91,13 @@ def fit_rf(spark, sf_dir):
 
 @register("cv_auc", None, "M7")
 def cv_auc(spark, sf_dir):
-    """5-fold stratified CV AUC (mean, std) of the boosted trees on the training rows."""
-    return _cv(spark, sf_dir)
+    """5-fold stratified CV AUC (mean, std) of boosted trees on the training rows, kept in the ledger."""
+    return _cv_gbt(spark, sf_dir, "gbt", {}).select("model", "folds", "cv_auc_mean", "cv_auc_std")
 
 
-def _cv(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir, "cv")
-    if key not in _FITTED:
-        _FITTED[key] = M.cv_auc(model_frame(spark, sf_dir), "gbt", parallelism=config.CV_FOLDS)
-    return _FITTED[key]
+def _cv_gbt(spark, sf_dir, name, p):
+    return boosting.cross_validate(blocks(spark, sf_dir, config.CV_FOLDS), p, config.GBT_PARAMS["maxIter"], config.CV_FOLDS, len(M.FEATURES),
+                                   trial_ledger(spark, sf_dir), name)
 
 
 @register("calibrated_scores", None, "M9 M10")
@@ -127,10 +148,13 @@ def attribution_global(spark, sf_dir):
                                                        top=len(M.FEATURES)))
 
 
+SHALLOW = {"max_depth": 4, "step": 0.1}
+
+
 def _compare(spark, sf_dir):
     mf = model_frame(spark, sf_dir)
-    rows = []
-    for name, kind, params in (("gbt", "gbt", {}), ("gbt_shallow", "gbt", {"max_depth": 4, "step": 0.1}),
+    book, rows = trial_ledger(spark, sf_dir), []
+    for name, kind, params in (("gbt", "gbt", {}), ("gbt_shallow", "gbt", SHALLOW),
                                ("logistic_regression", "lr", {}), ("random_forest", "rf", {})):
         model, sec = fitted(spark, sf_dir, kind, **params)
         iso = M.calibrate(model, mf)
@@ -138,10 +162,13 @@ def _compare(spark, sf_dir):
     table = rows[0]
     for r in rows[1:]:
         table = table.unionByName(r)
-    cv = _cv(spark, sf_dir)
-    # Earlier CV results by model name, 0 where a model has none
-    out = table.join(F.broadcast(cv.select("model", "cv_auc_mean", "cv_auc_std")), "model", "left") \
-        .na.fill(0.0, ["cv_auc_mean", "cv_auc_std"])
+    # CV results are those that earlier runs left in the ledger; what it lacks is run now
+    cv = [_cv_gbt(spark, sf_dir, "gbt", {}),
+          _cv_gbt(spark, sf_dir, "gbt_shallow", {"max_depth": SHALLOW["max_depth"], "learning_rate": SHALLOW["step"]}),
+          boosting.summary(M.cv_folds(mf, "lr", "logistic_regression", book, parallelism=config.CV_FOLDS), config.CV_FOLDS),
+          boosting.summary(M.cv_folds(mf, "rf", "random_forest", book, parallelism=config.CV_FOLDS), config.CV_FOLDS)]
+    cv = reduce(DataFrame.unionByName, cv).select("model", "cv_auc_mean", "cv_auc_std")
+    out = materialise(table.join(cv, "model", "left").na.fill(0.0, ["cv_auc_mean", "cv_auc_std"]), run_folder(spark, "compare"), "table")
     return out.select("*", E.average_rank_desc(out, "auc").alias("auc_rank"))
 
 
@@ -224,26 +251,25 @@ def threshold_artifacts(spark, sf_dir):
 
 @register("tune_gbt", None, "M8 M7")
 def tune_gbt(spark, sf_dir):
-    """Seeded random search (3-fold stratified CV, parallel fits): CV AUC per candidate, the best one fitted again.
+    """Seeded random search over all eight parameters: CV AUC (3 folds) of each of the 75 candidates; the best one has its test AUC."""
+    folds = config.TUNING_FOLDS
+    found = boosting.search(blocks(spark, sf_dir, folds), boosting.draw_candidates(), folds, len(M.FEATURES), trial_ledger(spark, sf_dir))
+    return found.select("setting", "n_trees", "folds", "cv_auc_mean", "cv_auc_std", "test_auc")
 
-    ``config.TUNING_TRIALS`` candidates: each is three full fits.
-    """
-    return M.tune_gbt(model_frame(spark, sf_dir), trials=config.TUNING_TRIALS, folds=3, parallelism=6)
+
+def _tree_attribution(spark, sf_dir):
+    mf = model_frame(spark, sf_dir)
+    model, _ = fitted(spark, sf_dir, "gbt")
+    return M.tree_attribution(model, mf.where(F.col("split") == "test"), mf.where(F.col("split") == "train"))
 
 
 @register("tree_attribution", None, "M24")
 def tree_attribution(spark, sf_dir):
-    """Top-12 sampled-Shapley log-odds contributions per test loan under the boosted trees."""
-    mf = model_frame(spark, sf_dir)
-    model, _ = fitted(spark, sf_dir, "gbt")
-    background = mf.where(F.col("split") == "train")
-    return M.top_attributions(M.sampled_shapley(model, mf.where(F.col("split") == "test"), background))
+    """Top-12 exact Shapley contributions (log-odds) per test loan under the boosted trees, against all training loans."""
+    return M.top_attributions(_tree_attribution(spark, sf_dir))
 
 
 @register("tree_attribution_global", None, "M24")
 def tree_attribution_global(spark, sf_dir):
-    """Mean absolute sampled-Shapley contribution per feature over all test loans."""
-    mf = model_frame(spark, sf_dir)
-    model, _ = fitted(spark, sf_dir, "gbt")
-    attr = M.sampled_shapley(model, mf.where(F.col("split") == "test"), mf.where(F.col("split") == "train"))
-    return M.mean_abs_attribution(attr)
+    """Mean absolute exact Shapley contribution per feature over all test loans."""
+    return M.mean_abs_attribution(_tree_attribution(spark, sf_dir).select(F.inline("c")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tempest import config
 from tempest.operators import scenarios as S
 from tempest.plans import base
 from tempest.plans.catalog import finish, r, register
@@ -110,19 +111,25 @@ def ablation(spark, sf_dir):
 
 
 def _proxy_sql() -> str:
-    u = lambda at: f"CAST(('0x' || substr(d, {at}, 13)) AS BIGINT) / 4503599627370496.0"
-    changed = cpd_sql().replace("emission_intensity", "new_intensity")
-    return f"""WITH f AS (SELECT list_sort(list_distinct(list(emission_intensity))) AS f FROM lookup),
-g AS (SELECT l.*, p.percent, t.trial, md5(concat_ws('|', l.loan_id, t.trial, p.percent, 42)) AS d
-      FROM lookup l CROSS JOIN (SELECT unnest([10, 20, 30]) AS percent) p CROSS JOIN (SELECT unnest(range(100)) AS trial) t),
-n AS (SELECT g.*, CASE WHEN {u(1)} < percent / 100.0 THEN f.f[CAST(floor({u(14)} * len(f.f)) AS BIGINT) + 1]
-                       ELSE emission_intensity END AS new_intensity FROM g, f),
-m AS (SELECT percent, trial, avg(abs({changed} - {cpd_sql()})) AS mae FROM n GROUP BY percent, trial)
+    changed = cpd_sql().replace("emission_intensity", "factor")
+    m = float(S.DRAW_MODULUS)
+    steps, last = "", "g"
+    for name, text in S.draw_steps("loan_id", "trial", config.RANDOM_STATE):
+        steps += f"{name}_t AS (SELECT *, {text} AS {name} FROM {last}),\n"
+        last = f"{name}_t"
+    return f"""WITH f AS (SELECT unnest(list_sort(list_distinct(list(emission_intensity)))) AS factor FROM lookup),
+k AS (SELECT factor, row_number() OVER (ORDER BY factor) - 1 AS k, count(*) OVER () AS n FROM f),
+c AS (SELECT loan_id, k, n, abs({changed} - {cpd_sql()}) AS change FROM lookup CROSS JOIN k),
+g AS (SELECT loan_id, trial FROM lookup CROSS JOIN (SELECT CAST(unnest(range(100)) AS BIGINT) AS trial) t),
+{steps}d AS (SELECT x5_t.*, c.change FROM x5_t JOIN (SELECT max(n) AS n FROM k) z ON true
+      JOIN c ON c.loan_id = x5_t.loan_id AND c.k = CAST(floor(x5 * z.n / {m!r}) AS BIGINT)),
+m AS (SELECT p.percent, trial, avg(CASE WHEN x3 < p.percent / 100.0 * {m!r} THEN change WHEN change IS NULL THEN NULL ELSE 0.0 END) AS mae
+      FROM d CROSS JOIN (SELECT unnest([10, 20, 30]) AS percent) p GROUP BY p.percent, trial)
 SELECT percent / 100.0 AS rate, {r('avg(mae)')} AS mean_abs_cpd_change, {r('stddev_pop(mae)')} AS std_abs_cpd_change
 FROM m GROUP BY percent"""
 
 
 @register("proxy_sensitivity", lambda: with_base(_proxy_sql()), "R19")
 def proxy_sensitivity(spark, sf_dir):
-    """Random replacement of transition factors, by repeatable draws."""
+    """Random replacement of transition factors, by draws that any engine can repeat."""
     return finish(S.proxy_sensitivity(_inputs(spark, sf_dir)))

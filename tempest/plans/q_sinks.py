@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tempest import config
 from tempest.operators import batch as B
-from tempest.operators import cleaning, drift, scenarios
+from tempest.operators import cleaning, drift, publish, scenarios
+from tempest.operators import evaluate as E
 from tempest.plans import base
 from tempest.plans.catalog import finish, oracle_text, r, register
 from tempest.plans.sqlbase import with_base
@@ -105,3 +106,22 @@ def training_stats_roundtrip(spark, sf_dir):
     stats.write.mode("overwrite").parquet(f"{run}/training_stats")
     return finish(spark.read.parquet(f"{run}/training_stats"))
 
+
+
+@register("published_thresholds", lambda: f"""SELECT 'cost_optimal' AS metric, threshold AS value FROM ({oracle_text('cost_threshold')})
+UNION ALL SELECT 'f1_optimal', threshold FROM ({oracle_text('f1_threshold')})
+UNION ALL SELECT * FROM (VALUES ('fn_cost', CAST({config.FN_COST} AS DOUBLE)), ('fp_cost', CAST({config.FP_COST} AS DOUBLE))) AS t(metric, value)""",
+          "S12 S13 M15 M16")
+def published_thresholds(spark, sf_dir):
+    """A model version published with its threshold table and statistics, then loaded and checked; the thresholds."""
+    from tempest.plans.q_model import fitted
+
+    lab = materialise(base.scored_labels(spark, sf_dir).select("id", "label", F.col("p_a").alias("score")), _run_dir(spark, "labels"), "p_a")
+    pr = E.pr_points(lab)
+    table = E.cost_threshold(pr).select(F.lit("cost_optimal").alias("metric"), F.col("threshold").alias("value")).unionByName(
+        E.f1_threshold(pr).select(F.lit("f1_optimal").alias("metric"), F.col("threshold").alias("value")))
+    consts = spark.createDataFrame([("fn_cost", float(config.FN_COST)), ("fp_cost", float(config.FP_COST))], "metric string, value double")
+    root = _run_dir(spark, "published")
+    statistics = drift.feature_stats(drift.long_form(base.clean(spark, sf_dir), config.ALL_FEATURES))
+    publish.publish(spark, root, fitted(spark, sf_dir, "lr")[0], table.unionByName(consts), statistics)
+    return finish(publish.load(spark, root).thresholds)

@@ -17,7 +17,7 @@ from tempest.operators.scoring import SCORECARD_INTERCEPT, SCORECARD_WEIGHTS
 from tempest.plans import base
 from tempest.plans.catalog import finish, r, register
 from tempest.plans.sqlbase import cpd_sql, sectors_values, states_values, strip_sql, tier_sql, with_base
-from tempest.session import run_folder
+from tempest.session import materialise, run_folder
 from tempest.sources import requests as RQ
 from tempest.streaming import jobs
 
@@ -38,6 +38,7 @@ BAD_REQUEST = [
     "total_bc_limit < 0", "total_rev_hi_lim < 0", "mo_sin_rcnt_tl < 0", "mo_sin_old_rev_tl_op < 0", "num_actv_rev_tl < 0",
     "percent_bc_gt_75 < 0 OR percent_bc_gt_75 > 100", "bc_util < 0", "mths_since_recent_inq < 0",
     "severity_factor < 0 OR severity_factor > 1", "transition_scaling < 0 OR transition_scaling > 1",
+    "scenario NOT IN ('orderly', 'disorderly', 'hot_house', 'too_little_too_late')",
 ]
 
 
@@ -46,6 +47,7 @@ def _stream_score_sql() -> str:
         f" + CAST({w} AS DOUBLE) * ({f} - CAST({c} AS DOUBLE))" for f, c, w in SCORECARD_WEIGHTS)
     checks = " AND ".join(f"NOT coalesce({b}, false)" for b in BAD_REQUEST)
     required = " AND ".join(f"{c} IS NOT NULL" for c in jobs.REQUIRED)
+    prices = " ".join(f"WHEN '{k}' THEN {v}" for k, v in config.CARBON_PRICES.items())
     return f"""
 WITH req AS ({RQ.requests_sql()}),
 states AS ({states_values()}),
@@ -53,26 +55,28 @@ sectors AS ({sectors_values()}),
 ok AS (SELECT * FROM req WHERE {required} AND {checks}),
 d AS (SELECT request_id, dti, annual_inc, fico_range_low, int_rate, installment,
         coalesce(loan_amnt, 10000.0) AS loan_amnt, coalesce(emp_length, 3.0) AS emp_length, addr_state, purpose,
+        coalesce(scenario, 'orderly') AS scenario,
+        CAST(CASE scenario {prices} ELSE 100.0 END AS DOUBLE) AS carbon_price,
         coalesce(severity_factor, {config.SEVERITY_FACTOR}) AS sev, coalesce(transition_scaling, {config.TRANSITION_SCALING}) AS tscale,
         1.0 / (1.0 + exp(-({z}))) AS Baseline_PD FROM ok),
 l AS (SELECT d.*, coalesce(s.physical_risk, 0.45) AS hazard, coalesce(k.emission_intensity, 0.25) AS emission_intensity
       FROM d LEFT JOIN states s ON {strip_sql('d.addr_state')} = s.state_key
       LEFT JOIN sectors k ON replace(lower(d.purpose), ' ', '_') = k.sector_key),
-c AS (SELECT l.*, {cpd_sql('sev', scaling='tscale')} AS CPD FROM l)
+c AS (SELECT l.*, {cpd_sql('sev', price='carbon_price', scaling='tscale')} AS CPD FROM l)
 SELECT request_id, {r('dti')} AS dti, {r('annual_inc', 2)} AS annual_inc, {r('fico_range_low')} AS fico_range_low,
   {r('int_rate')} AS int_rate, {r('installment')} AS installment, {r('loan_amnt', 2)} AS loan_amnt,
   {r('emp_length')} AS emp_length, addr_state, purpose,
   {r('Baseline_PD')} AS Baseline_PD, {r('CPD')} AS CPD, {r('(CPD - Baseline_PD) / (Baseline_PD + 1e-8) * 100', 2)} AS PD_Uplift_Pct,
   {tier_sql('CPD')} AS Risk_Category, {r('CPD * 0.45 * loan_amnt', 2)} AS Expected_Loss,
-  'orderly' AS scenario, CAST(100.0 AS DOUBLE) AS carbon_price, CAST({config.DEFAULT_LGD} AS DOUBLE) AS lgd_assumption
+  scenario, carbon_price, CAST({config.DEFAULT_LGD} AS DOUBLE) AS lgd_assumption
 FROM c"""
 
 
-@register("stream_score", _stream_score_sql, "Q1 F2 F3 F4 R8 S8")
+@register("stream_score", _stream_score_sql, "Q1 F2 F3 F4 J11 R8 S8")
 def stream_score(spark, sf_dir):
-    """Loan requests from the events stream, validated, scored (orderly) and written; the written rows."""
+    """Loan requests from the events stream, validated, scored each under its own scenario and written; the written rows."""
     out = _run_dir(spark, "score")
-    jobs.stream_score(spark, RQ.request_stream(spark, sf_dir), out, scenario="orderly")
+    jobs.stream_score(spark, RQ.request_stream(spark, sf_dir), out)
     return finish(spark.read.parquet(f"{out}/scored").select(*OUT_COLS), money=("annual_inc", "loan_amnt"))
 
 
@@ -81,9 +85,9 @@ WITH req AS ({RQ.requests_sql()})
 SELECT request_id, CAST(count(*) AS BIGINT) AS n_reasons FROM (
   SELECT request_id, unnest([{", ".join(f"CASE WHEN {b} THEN 1 END" for b in BAD_REQUEST)}]) AS bad FROM req)
 WHERE bad IS NOT NULL GROUP BY request_id""",
-          "Q1 F3")
+          "Q1 F3 F4 J11")
 def stream_rejects(spark, sf_dir):
-    """Requests the stream rejected, with the number of failed range rules."""
+    """Requests the stream rejected, with the number of failed rules (ranges, unknown scenario)."""
     out = _run_dir(spark, "score")
     jobs.stream_reject(spark, RQ.request_stream(spark, sf_dir), out)
     return spark.read.parquet(f"{out}/rejected").select(
@@ -126,9 +130,10 @@ SELECT day, feature, {r('psi', 5)} AS psi,
 
 @register("stream_drift", _stream_drift_sql, "Q2 R16 R17")
 def stream_drift(spark, sf_dir):
-    """PSI per day and feature of the request stream against the loans' training statistics."""
-    stats = drift.feature_stats(drift.long_form(base.clean(spark, sf_dir), jobs.DRIFT_FEATURES))
+    """PSI per day and feature of the request stream against the loans' training statistics: closed windows and open ones."""
     out = _run_dir(spark, "drift")
+    # the statistics are a small stored table
+    stats = materialise(drift.feature_stats(drift.long_form(base.clean(spark, sf_dir), jobs.DRIFT_FEATURES)), out, "stats")
     jobs.stream_drift(spark, RQ.request_stream(spark, sf_dir), stats, out)
-    psi = spark.read.parquet(f"{out}/psi")
+    psi = jobs.read_drift(spark, out)
     return finish(psi.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "feature", "psi", "status"), digits=5)

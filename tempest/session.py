@@ -8,6 +8,7 @@ provide.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -78,6 +79,20 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return fs.makeQualified(hadoop).toString()  # with its scheme, for readers outside the JVM too
 
 
+def files_state(spark: SparkSession, folder: str, tables) -> str:
+    """Names the state of Parquet tables (files or folders) by the sizes and times of their files."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for name in tables:
+        path = hadoop.Path(f"{folder}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((str(f.getPath().toUri().getPath()), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:16]
+
+
 def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write ``df`` as Parquet below ``folder`` and read it back: the lineage is cut, every
     later use reads the same rows, and a lost executor costs only its own tasks."""

@@ -8,8 +8,8 @@
   ``t2m = avg(discount) * 300`` and ``precip = sum(quantity) / 1000``; a
   month whose line count is a multiple of 17 reports the -999 sentinel for
   temperature.  Only rows in the observation schema come out of here.
-* ``read_feature_table`` / ``append_features``: the keyed feature table
-  that replaces the per-location JSON cache.
+* ``read_feature_table`` / ``append_features``: the keyed, versioned feature
+  table that replaces the per-location JSON cache.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from tempest.operators.climate import PRECIP, T2M, loc_key
 from tempest.sources import dims
+from tempest.sources.keyed import KeyedTable
 from tempest.sources.loans import FIXTURE_STATES, table
 
 RAW_SCHEMA = T.StructType([
@@ -91,10 +92,15 @@ LATERAL (SELECT 'T2M' AS variable, CASE WHEN n % 17 = 0 THEN -999.0 ELSE d * 300
          UNION ALL SELECT 'PRECTOTCORR', q / 1000.0) v"""
 
 
+def feature_table(spark: SparkSession, path: str) -> KeyedTable:
+    """The stored features, one row per location."""
+    return KeyedTable(spark, path, ["loc_key"])
+
+
 def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return feature_table(spark, path).read()
 
 
 def append_features(features: DataFrame, path: str) -> None:
-    """Append newly computed locations to the keyed feature table."""
-    features.write.mode("append").parquet(path)
+    """Put newly computed locations into the keyed feature table; a repeated or broken job leaves one row per location."""
+    feature_table(features.sparkSession, path).upsert(features)

@@ -49,6 +49,10 @@ REQUEST_COLUMNS: list[tuple[str, str]] = [
                         "WHEN event_id % 6 = 0 THEN NULL ELSE CAST(event_id % 5 AS DOUBLE) / 8.0 END"),
     ("transition_scaling", "CASE WHEN event_id % 157 = 0 THEN 1.5 WHEN event_id % 163 = 0 THEN -0.1 "
                            "WHEN event_id % 9 = 0 THEN NULL ELSE CAST(event_id % 4 AS DOUBLE) / 8.0 END"),
+    # all four scenarios, none at all and, now and then, unknown keys
+    ("scenario", "CASE WHEN event_id % 167 = 0 THEN 'net_zero' WHEN event_id % 173 = 0 THEN 'Orderly' WHEN event_id % 10 = 3 THEN NULL "
+                 "WHEN event_id % 4 = 0 THEN 'orderly' WHEN event_id % 4 = 1 THEN 'disorderly' WHEN event_id % 4 = 2 THEN 'hot_house' "
+                 "ELSE 'too_little_too_late' END"),
 ]
 
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"

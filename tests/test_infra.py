@@ -76,7 +76,16 @@ def test_tuning_query_searches_all_candidates(monkeypatch):
     from tempest.plans import q_model
 
     asked = {}
-    monkeypatch.setattr(q_model, "model_frame", lambda spark, sf_dir: None)
-    monkeypatch.setattr(q_model.M, "tune_gbt", lambda mf, **options: asked.update(options))
+    monkeypatch.setattr(q_model, "blocks", lambda spark, sf_dir, folds: None)
+    monkeypatch.setattr(q_model, "trial_ledger", lambda spark, sf_dir: None)
+
+    class Found:
+        def select(self, *columns):
+            return columns
+
+    monkeypatch.setattr(q_model.boosting, "search", lambda blocks, candidates, folds, n, book: asked.update(c=candidates, folds=folds) or Found())
     q_model.tune_gbt(None, None)
-    assert asked["trials"] == 75 and asked["folds"] == 3
+    assert sum(len(stages) for _, stages in asked["c"]) == 75 and asked["folds"] == 3
+    for p, stages in asked["c"]:
+        assert len(p) == 7 and 3 <= p["max_depth"] <= 10 and 1e-8 <= p["reg_alpha"] <= 10 and 1e-8 <= p["reg_lambda"] <= 10
+        assert all(100 <= n <= 500 and n % 50 == 0 for n in stages) and len(set(stages)) == len(stages)
