@@ -55,6 +55,8 @@ def range_bucket(df: DataFrame, order_col: str, rows_per_bucket: int = ROWS_PER_
     probs = [i / k for i in range(1, k)]
     cuts = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * k).alias("q")).first()[0]
     splits = [-math.inf] + sorted({float(x) for x in cuts or []}) + [math.inf]
+    if len(splits) == 2:  # no rows
+        return df.withColumn(out, F.lit(0.0))
     keyed = df.withColumn("_bk_in", F.col(order_col).cast("double"))
     return Bucketizer(splits=splits, inputCol="_bk_in", outputCol=out).transform(keyed).drop("_bk_in")
 
