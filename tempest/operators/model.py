@@ -162,7 +162,7 @@ def cv_folds(mf: DataFrame, kind: str, name: str, book: KeyedTable, folds: int =
 
         def one(fold: int):
             began = time.perf_counter()
-            fitted = _estimator(kind, data.where(F.col("fold") != fold), **params)
+            fitted = _estimator(kind, by_rows(data.where(F.col("fold") != fold)), **params)
             scored = fitted.transform(data.where(F.col("fold") == fold)).select("label", vector_to_array("probability")[1].alias("score"))
             row = E.auc(scored).first()
             return fold, float(row["auc"]), time.perf_counter() - began

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from tempest import config
 from tempest.functions import columns as C
-from tempest.operators import cleaning
+from tempest.operators import cleaning, overlay, scoring
 from tempest.plans import base
 from tempest.plans.catalog import finish, r, register
-from tempest.plans.sqlbase import div_sql, with_base
+from tempest.plans.sqlbase import _scorecard_sql, cpd_sql, div_sql, strip_sql, with_base
 from tempest.sources.loans import fixture_loans
 
 
@@ -89,6 +89,25 @@ def median_impute(spark, sf_dir):
     return finish(cleaning.median_impute(df, config.ALL_FEATURES))
 
 
+def _income_fill_sql() -> str:
+    medians = ", ".join(f"median({f}) AS med_{f}" for f, _, _ in scoring.SCORECARD_WEIGHTS)
+    return with_base(f"""WITH p AS (SELECT typed.*, {_scorecard_sql()} AS Baseline_PD FROM typed, (SELECT {medians} FROM typed) med),
+l AS (SELECT p.*, coalesce(s.physical_risk, 0.45) AS hazard, coalesce(k.emission_intensity, 0.25) AS emission_intensity,
+        coalesce(annual_inc, (SELECT median(annual_inc) FROM typed)) AS income
+      FROM p LEFT JOIN states s ON {strip_sql('p.addr_state')} = s.state_key
+      LEFT JOIN sectors k ON replace(lower(p.purpose), ' ', '_') = k.sector_key)
+SELECT loan_id, annual_inc IS NULL AS filled, {r('income', 2)} AS income, {r(cpd_sql().replace('annual_inc', 'income'))} AS CPD FROM l""")
+
+
+@register("income_filled_overlay", _income_fill_sql, "P13 R8")
+def income_filled_overlay(spark, sf_dir):
+    """Both overlays on the typed loans before incomplete rows go: a missing income counts as the batch median."""
+    df = scoring.scorecard_pd(_typed(spark, sf_dir))
+    scored = overlay.score_cpd(df, impute_income=True)
+    out = scored.select("loan_id", F.col("annual_inc").isNull().alias("filled"), overlay.income_filled(df).alias("income"), "CPD")
+    return finish(out, money=("income",))
+
+
 def _default_fill_sql() -> str:
     defaults = dict(config.SCORING_DEFAULTS)
     given = ["dti", "annual_inc", "fico_range_low", "int_rate", "installment", "emp_length"]
