@@ -6,10 +6,14 @@ frequent in toxic examples, with a log-likelihood ratio above ``2 ln(number of c
 which about one term would pass by chance, counted so that copies of a text count once.  Document
 frequencies are those of the whole corpus; cosines are those over the chosen terms.
 
-A document's neighbours are the ``K`` examples of largest cosine.  The index lists each term's examples
-in blocks with the block's largest weight.  A query adds these up to a bound for every block, visits
-blocks from the highest bound down and stops when no block can hold a better example, so the result is
-that of comparing with every example.  Neighbours vote with weight ``1 / (SOFT + 1 - cosine)``; the
+A document's neighbours are the ``K`` examples of largest cosine.  The index has two tiers.  Short lists are
+summed over all their postings.  Long lists (terms in more than 1 of ``LONG_SHARE`` examples) have their
+largest weight per block of examples.  Where a query's long lists hold at most ``FEW_POSTINGS`` postings per
+example, they are summed as well, as bounds would cost more than they save.  Else the block weights add up to
+what a block can still gain (not more than the norm of the query's long terms): while many examples could
+reach the K-th best, the long list that weighs most is summed and the bounds are taken again; then the rest is
+computed for those that can, from the most promising block down.  The result is that of comparing with every
+example.  Neighbours vote with weight ``1 / (SOFT + 1 - cosine)``; the
 vote becomes a probability by the share of toxic labels at that vote among the examples themselves,
 each queried without itself (monotone, with the classes weighted as in all labels).  The neighbours
 come back as evidence.
@@ -51,7 +55,13 @@ PREFIXES = (4, 5, 6)
 SOFT = 0.05
 BINS = 20
 BLOCK = 64
-FIRST_BLOCKS = 8
+LONG_SHARE = 64
+FIRST = 64  # examples scored before the first bound
+FIRST_BLOCKS = 16
+FEW_POSTINGS = 16  # postings per example that are summed without bounds
+DENSE_SHARE = 8  # lists of more than 1 of so many examples are held as one weight per example
+ROWS_PER_TASK = 8192
+EXAMPLES_PER_TASK = 512
 EVIDENCE = 5
 PRIOR = (0.5, 2.0)  # toxic examples and examples that a share starts from
 _CACHE = 1 << 17
@@ -164,66 +174,144 @@ def weights(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
     return w / np.sqrt((w * w).sum()) if len(w) else w
 
 
+def _spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers of all the ranges, one after the other."""
+    size = stop - start
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
+
+
 class BlockMaxIndex:
-    """Inverted index over examples in blocks of ``BLOCK``; examples with like terms lie together."""
+    """Inverted index over examples in blocks of ``BLOCK``; examples with a strongest term in common lie together.
+
+    ``idf``: weight of each term.
+    """
 
-    def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[list[int], list[int]]], idf: np.ndarray, block: int = BLOCK):
-        order = sorted(range(len(ids)), key=lambda i: (vectors[i][0], vectors[i][1], ids[i]))
+    def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple], idf: np.ndarray, block: int = BLOCK,
+                 long_share: int = LONG_SHARE):
+        n = len(ids)
+        size = np.array([len(v[0]) for v in vectors], np.int64)
+        term = np.concatenate([np.asarray(v[0], np.int32) for v in vectors] or [np.zeros(0, np.int32)])
+        w = np.concatenate([weights(np.asarray(v[0], np.int64), np.asarray(v[1], float), idf) for v in vectors] or [np.zeros(0)])
+        owner = np.repeat(np.arange(n), size)
+        strongest = np.full(n, len(idf), np.int64)
+        by_weight = np.lexsort((term, -w, owner))
+        strongest[size > 0] = term[by_weight[(np.cumsum(size) - size)[size > 0]]]
+        order = np.lexsort((np.array(ids, np.int64), strongest))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        owner = place[owner]
         self.idf, self.block = idf, block
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        self.labels = np.array([labels[i] for i in order], np.int64)
+        self.ids, self.labels = np.array(ids, np.int64)[order], np.array(labels, np.int64)[order]
         self.place = {int(x): p for p, x in enumerate(self.ids)}
-        self.blocks = -(-len(order) // block)
-        posts: list[list[tuple[int, float]]] = [[] for _ in idf]
-        for p, i in enumerate(order):
-            t = np.array(vectors[i][0], np.int64)
-            for term, w in zip(t, weights(t, np.array(vectors[i][1], float), idf), strict=True):
-                posts[term].append((p, w))
-        #: by term: examples, weights, their blocks; blocks and the largest weight in each
-        self.posts = []
-        for rows in posts:
-            at = np.array([r[0] for r in rows], np.int64)
-            w = np.array([r[1] for r in rows], float)
-            b, first = np.unique(at // block, return_index=True)
-            self.posts.append((at, w, at // block, b, np.maximum.reduceat(w, first) if len(w) else w))
-
-    def _best(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the examples in the marked blocks that share a term."""
-        score = np.zeros(len(self.ids))
-        for term, w in zip(terms, q, strict=True):
-            at, weight, of, _, _ = self.posts[term]
-            s = blocks[of]
-            score[at[s]] += w * weight[s]
-        if skip >= 0:
-            score[skip] = 0
-        found = np.flatnonzero(score)
-        return found, score[found]
-
-    def search(self, terms: list[int], counts: list[int], k: int = K, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        self.blocks = -(-n // block)
+        #: postings by term, examples ascending
+        by_term = np.lexsort((owner, term))
+        self.at, self.weight = owner[by_term].astype(np.int32), w[by_term]
+        self.ptr = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
+        #: long terms: number among them or -1, and their largest weight by block
+        is_long = np.diff(self.ptr) * long_share > max(n, 2 * long_share)
+        self.long = np.where(is_long, np.cumsum(is_long) - 1, -1)
+        self.most = np.zeros((int(is_long.sum()), self.blocks))
+        mine = is_long[term]
+        np.maximum.at(self.most, (self.long[term[mine]], owner[mine] // block), w[mine])
+        #: the long terms of each example
+        by_example = np.flatnonzero(mine)[np.argsort(owner[mine], kind="stable")]
+        self.own, self.own_weight = self.long[term[by_example]].astype(np.int32), w[by_example]
+        self.own_ptr = np.searchsorted(owner[by_example], np.arange(n + 1))
+        self.own_mean = len(self.own) / max(n, 1)
+        #: the longest lists once more, a weight per example
+        thick = np.flatnonzero(np.diff(self.ptr) * DENSE_SHARE > n)
+        self.dense_row = np.full(len(idf), -1)
+        self.dense_row[thick] = np.arange(len(thick))
+        self.dense = np.zeros((len(thick), n))
+        for i, x in enumerate(thick):
+            self.dense[i, self.at[self.ptr[x]:self.ptr[x + 1]]] = self.weight[self.ptr[x]:self.ptr[x + 1]]
+        self.touched = 0  # postings read by all searches
+
+    def search(self, terms, counts, k: int = K, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k best examples with a common term; ties go to the earlier place."""
-        t = np.array(terms, np.int64)
-        q = weights(t, np.array(counts, float), self.idf)
-        bound = np.zeros(self.blocks)
-        for term, w in zip(t, q, strict=True):
-            _, _, _, b, most = self.posts[term]
-            bound[b] += w * most
+        t = np.asarray(terms, np.int64)
+        q, n = weights(t, np.asarray(counts, float), self.idf), len(self.ids)
+        none = np.zeros(0, np.int64), np.zeros(0)
+        if not len(t) or not n:
+            return none
+        number = self.long[t]
+        known = self._sum(t[number < 0], q[number < 0])
+        seen = np.zeros(n, bool)
         skip = self.place.get(without, -1)
-        at, best, done, most = np.zeros(0, np.int64), np.zeros(0), np.zeros(self.blocks, bool), FIRST_BLOCKS
-        while True:
-            # the most promising blocks, then all that can still hold a better example
-            least = best[-1] - 1e-9 if len(best) == k else 0.0
-            open_blocks = np.flatnonzero(~done & (bound > 0) & (bound >= least))
-            if not len(open_blocks):
-                return at, best
-            if len(open_blocks) > most:
-                open_blocks = open_blocks[np.argpartition(-bound[open_blocks], most - 1)[:most]]
-            mark = np.zeros(self.blocks, bool)
-            mark[open_blocks] = True
-            done |= mark
-            found, score = self._best(t, q, mark, skip)
-            at, best = np.concatenate([at, found]), np.concatenate([best, score])
+        if skip >= 0:
+            seen[skip] = True
+        long, lists, ql = number[number >= 0], t[number >= 0], q[number >= 0]
+        if (self.ptr[lists + 1] - self.ptr[lists]).sum() <= FEW_POSTINGS * n:  # bounds would cost more than they save
+            known += self._sum(lists, ql)
+            found = np.flatnonzero((known > 0) & ~seen)
+            if len(found) > k:
+                least = np.partition(known[found], -k)[-k]
+                found = found[known[found] >= least - 1e-9]
+            top = np.lexsort((found, -np.round(known[found], 9)))[:k]
+            return found[top], known[found[top]]
+        # long terms still to come, the heaviest in the query first
+        heavy = np.argsort(-ql, kind="stable")
+        long, lists, ql = long[heavy], lists[heavy], ql[heavy]
+        dense = np.zeros(len(self.most))
+        dense[long] = ql
+        at, best = none
+
+        def exact(found: np.ndarray) -> None:
+            nonlocal at, best
+            seen[found] = True
+            own = _spans(self.own_ptr[found], self.own_ptr[found + 1])
+            size = self.own_ptr[found + 1] - self.own_ptr[found]
+            gain = np.bincount(np.repeat(np.arange(len(found)), size), dense[self.own[own]] * self.own_weight[own], len(found))
+            self.touched += len(own)
+            score = known[found] + gain
+            hit = score > 0
+            at, best = np.concatenate([at, found[hit]]), np.concatenate([best, score[hit]])
             top = np.lexsort((at, -np.round(best, 9)))[:k]
-            at, best, most = at[top], best[top], 4 * most
+            at, best = at[top], best[top]
+
+        def least() -> float:
+            return best[-1] - 1e-9 if len(best) == k else 0.0
+
+        first = min(max(FIRST, k), n)
+        while True:
+            start = np.argpartition(-known, first - 1)[:first]
+            exact(start[(known[start] > 0) & ~seen[start]])
+            rest = np.minimum(np.sqrt((ql * ql).sum()), ql @ self.most[long]) if len(long) else np.zeros(self.blocks)
+            can = known + np.repeat(rest, self.block)[:n]  # what an example can reach
+            can[seen] = 0
+            open_ones = int(((can > 0) & (can >= least())).sum())
+            sizes = self.ptr[lists + 1] - self.ptr[lists]
+            if 2 * open_ones * self.own_mean <= sizes.sum() or not len(long):
+                break
+            # too many could still get in: sum the next long lists for all examples, and bound again
+            take = int(np.searchsorted(np.cumsum(sizes), sizes.sum() / 4)) + 1
+            known += self._sum(lists[:take], ql[:take])
+            dense[long[:take]] = 0
+            long, lists, ql = long[take:], lists[take:], ql[take:]
+        bound = np.maximum.reduceat(can, np.arange(0, n, self.block))
+        blocks, at_once = np.argsort(-bound, kind="stable"), FIRST_BLOCKS
+        while len(blocks):
+            # the most promising blocks, until no other can hold a better example
+            blocks = blocks[(bound[blocks] > 0) & (bound[blocks] >= least())]
+            now, blocks, at_once = blocks[:at_once], blocks[at_once:], 4 * at_once
+            inside = _spans(now * self.block, np.minimum((now + 1) * self.block, n))
+            inside = inside[(can[inside] > 0) & (can[inside] >= least())]
+            if len(inside):
+                exact(inside)
+        return at, best
+
+    def _sum(self, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Part of every example's cosine by whole lists."""
+        row = self.dense_row[terms]
+        thin, q_thin = terms[row < 0], q[row < 0]
+        size = self.ptr[thin + 1] - self.ptr[thin]
+        at = _spans(self.ptr[thin], self.ptr[thin + 1])
+        out = np.bincount(self.at[at], self.weight[at] * np.repeat(q_thin, size), len(self.ids)).astype(float)
+        for i, w in zip(row[row >= 0], q[row >= 0], strict=True):
+            out += w * self.dense[i]
+        self.touched += int((self.ptr[terms + 1] - self.ptr[terms]).sum())
+        return out
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float | None:
         if not len(at):
@@ -263,10 +351,11 @@ def score(docs: DataFrame, labels: DataFrame, k: int = K, max_examples: int = MA
           folder: str | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (doc_id, cosine, toxic of the nearest) of every row."""
     return _scored(docs.select("doc_id", F.lit(None).cast("int").alias("payload"), "text"), labels, k, max_examples,
-                   folder or run_folder(docs.sparkSession, "toxicity")).drop("payload")
+                   folder or run_folder(docs.sparkSession, "toxicity"), spread=True).drop("payload")
 
 
-def _scored(docs: DataFrame, labels: DataFrame, k: int, max_examples: int, folder: str) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, k: int, max_examples: int, folder: str, spread: bool = False) -> DataFrame:
+    """``spread``: rows without a payload are dealt to tasks by their number, as a few bytes stand for a whole text."""
     spark = docs.sparkSession
     ids, usable = sample(labels, folder, max_examples)
     # the sample's size is bounded, so it may be broadcast at any size of the corpus
@@ -317,7 +406,8 @@ def _scored(docs: DataFrame, labels: DataFrame, k: int, max_examples: int, folde
             yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), b.column("payload")], ["bin", "toxic"])
 
     counts = np.zeros((BINS + 1, 2))
-    vectors_of = spark.read.parquet(f"{folder}/example-vectors")
+    # tasks by rows: a row of few numbers stands for a whole text and its search
+    vectors_of = spark.read.parquet(f"{folder}/example-vectors").repartition(max(1, -(-len(fitted) // EXAMPLES_PER_TASK)), "id")
     for r in vectors_of.mapInArrow(alone, "bin int, toxic int").groupBy("bin", "toxic").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["bin"], r["toxic"]] = r["n"]
     used = counts.sum(axis=0)
@@ -342,6 +432,8 @@ def _scored(docs: DataFrame, labels: DataFrame, k: int, max_examples: int, folde
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("payload"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], kind)],
                                              ["doc_id", "payload", "score", "evidence"])
 
+    if spread:
+        rows = rows.repartition(max(1, -(-total // ROWS_PER_TASK)))
     scored = rows.mapInArrow(judge, f"doc_id {kinds['doc_id']}, payload {kinds['payload']}, score double, "
                              "evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
     return scored.select("doc_id", "payload", held_out(F.col("doc_id")).alias("held_out"), "score",

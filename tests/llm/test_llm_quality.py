@@ -114,7 +114,9 @@ def test_fertility_of_odd_and_empty_tables(spark, odd_docs, no_docs):
 
 # ------------------------------------------------------------------ toxicity
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("few", [0, 4])
+def test_block_max_search_is_exact(monkeypatch, few):
+    monkeypatch.setattr(toxicity, "FEW_POSTINGS", few)
     rng, terms, n = np.random.default_rng(1), 60, 1500
     vectors = []
     for _ in range(n):
@@ -135,6 +137,31 @@ def test_block_max_search_is_exact():
         assert np.allclose(want[ix.ids[at]], cosine) and i not in ix.ids[at]
 
 
+@pytest.mark.parametrize("few", [0, 4, 10 ** 6])
+def test_search_with_long_lists_reads_less_than_all(monkeypatch, few):
+    """Examples in groups with words of their own and common words: exact, and few postings are read."""
+    rng, words, n = np.random.default_rng(2), 400, 3000
+    vectors = []
+    for i in range(n):
+        own = 100 + (i % 30) * 10 + rng.choice(10, 6, replace=False)
+        t = np.unique(np.concatenate([rng.choice(100, 40, replace=False), own]))
+        vectors.append((t, np.where(t >= 100, rng.integers(2, 5, len(t)), 1)))
+    idf = np.where(np.arange(words) < 100, rng.uniform(0.2, 0.5, words), rng.uniform(5, 8, words))
+    monkeypatch.setattr(toxicity, "FEW_POSTINGS", few)
+    ix = toxicity.BlockMaxIndex(list(range(n)), [i % 2 for i in range(n)], vectors, idf)
+    full = np.zeros((n, words))
+    for i, (t, c) in enumerate(vectors):
+        full[i, t] = toxicity.weights(t, c.astype(float), idf)
+    postings = 0
+    for i in range(0, n, 30):
+        at, cosine = ix.search(*vectors[i], 15, without=i)
+        want = full @ full[i]
+        want[i] = 0
+        assert np.allclose(np.sort(want)[::-1][:15], cosine) and np.allclose(want[ix.ids[at]], cosine)
+        postings += int(np.diff(ix.ptr)[vectors[i][0]].sum())
+    assert ix.touched == postings if few == 10 ** 6 else ix.touched < 0.4 * postings
+
+
 def test_calibration_rises_with_the_vote():
     counts = np.zeros((toxicity.BINS + 1, 2))
     counts[0], counts[3], counts[9], counts[20] = (90, 10), (5, 20), (30, 10), (1, 40)
