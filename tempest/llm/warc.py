@@ -40,6 +40,7 @@ from tempest.session import materialise, run_folder
 MIN_REVISIT = 100
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+TASK_BYTES = 32 << 20
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 
@@ -272,9 +273,13 @@ def read_frames(frames: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def read_archive(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """All records of the archive, one task for some frames, never for a whole bundle."""
+    """All records of the archive; tasks get frames of about ``TASK_BYTES`` of content together.
+
+    The number of tasks is given: the rows are descriptors, whose own size says nothing about the work.
+    """
     f = run_batches(frames(index.select("bundle").distinct()), folder, "frames")
-    return read_frames(f.repartition("bundle", "frame"), with_payload)
+    n = max(1, -(-(f.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES))
+    return read_frames(f.repartition(n, "bundle", "frame"), with_payload)
 
 
 def lookup(index: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
