@@ -198,6 +198,16 @@ def test_cv_of_the_spark_models_is_kept(spark, mf, tmp_path):
     assert again == first and book.version() == version  # read, not fitted again
 
 
+def test_rows_of_the_ledger_outlive_later_upserts(spark, mf, tmp_path):
+    """A comparison reads several models' rows after all of them are written: versions read before are gone by then."""
+    blocks = B.binned_blocks(mf, FEW, 2, run_folder(spark, "t"))
+    book = B.ledger(spark, str(tmp_path / "several"))
+    rows = [B.cross_validate(blocks, {"max_depth": 1}, 2, 2, len(FEW), book, name) for name in ("a", "b", "c")]
+    few = mf.select("id", "label", "split", *M.FEATURES)
+    rows += [B.summary(M.cv_folds(few, "lr", name, book, folds=2, maxIter=5), 2) for name in ("d", "e")]
+    assert [r.first()["model"] for r in rows] == ["a", "b", "c", "d", "e"] and all(r.first()["folds"] == 2 for r in rows)
+
+
 def test_drawn_candidates_are_seeded():
     a, b = B.draw_candidates(10, 3), B.draw_candidates(10, 3)
     assert a == b != B.draw_candidates(10, 3, seed=1) and [len(s) for _, s in a] == [3, 3, 3, 1]
