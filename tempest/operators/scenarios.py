@@ -150,9 +150,9 @@ def proxy_sensitivity(inputs: DataFrame, error_rates=(0.10, 0.20, 0.30), trials:
     distinct factor; mean and population std over trials of the mean |CPD change|.
 
     What a loan's CPD changes by under each factor is computed once a loan (the distinct intensities are an
-    array with at most one entry per sector).  A (loan, trial) is then two draws of a counter-based
-    generator: the first decides for all rates (a loan replaced at 10 % is replaced at 20 % too), the second
-    picks the factor.  The fan-out is aggregated by trial before any shuffle.
+    array with at most one entry per sector).  Each (loan, rate, trial) then has two draws of its own of a
+    counter-based generator: the first decides whether the factor is replaced, the second picks the new one.
+    The fan-out is aggregated by rate and trial before any shuffle.
     """
     price = dims.scenario_price(scenario)
     factors = inputs.agg(F.array_sort(F.collect_set("emission_intensity")).alias("f")) \
@@ -161,13 +161,12 @@ def proxy_sensitivity(inputs: DataFrame, error_rates=(0.10, 0.20, 0.30), trials:
     base_cpd = overlay.transition_pd(phys, "emission_intensity", "annual_inc", price)
     changes = F.transform("_factors", lambda f: F.abs(overlay.transition_pd(phys, f, "annual_inc", price) - base_cpd))
     fan = inputs.withColumn("_factors", factors).select("loan_id", base_cpd.isNotNull().alias("_counts"), changes.alias("_changes")) \
-        .withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    for name, text in draw_steps("loan_id", "trial", seed):
+        .withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(error_rates) * trials - 1))))
+    for name, text in draw_steps("loan_id", "run", seed):
         fan = fan.withColumn(name, F.expr(text))
     change = F.element_at("_changes", (F.floor(F.col("x5") * F.size("_changes") / float(DRAW_MODULUS)) + 1).cast("int"))
-    means = [F.avg(F.when(F.col("_counts"), F.when(F.col("x3") < r * DRAW_MODULUS, change).otherwise(C.lit_d(0.0)))).alias(f"r_{round(100 * r)}")
-             for r in error_rates]
-    per_trial = fan.groupBy("trial").agg(*means)
-    long = per_trial.unpivot(["trial"], [f"r_{round(100 * r)}" for r in error_rates], "name", "mae")
-    return long.groupBy((F.substring("name", 3, 9).cast("int") / 100.0).alias("rate")).agg(
+    rate = F.element_at(F.array(*map(C.lit_d, error_rates)), F.floor(F.col("run") / trials).cast("int") + 1)
+    replaced = F.when(F.col("x3") < rate * DRAW_MODULUS, change).otherwise(C.lit_d(0.0))
+    per_run = fan.groupBy("run").agg(F.avg(F.when(F.col("_counts"), replaced)).alias("mae"))
+    return per_run.groupBy(rate.alias("rate")).agg(
         F.avg("mae").alias("mean_abs_cpd_change"), F.stddev_pop("mae").alias("std_abs_cpd_change"))

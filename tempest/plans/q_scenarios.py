@@ -114,17 +114,18 @@ def _proxy_sql() -> str:
     changed = cpd_sql().replace("emission_intensity", "factor")
     m = float(S.DRAW_MODULUS)
     steps, last = "", "g"
-    for name, text in S.draw_steps("loan_id", "trial", config.RANDOM_STATE):
+    for name, text in S.draw_steps("loan_id", "run", config.RANDOM_STATE):
         steps += f"{name}_t AS (SELECT *, {text} AS {name} FROM {last}),\n"
         last = f"{name}_t"
     return f"""WITH f AS (SELECT unnest(list_sort(list_distinct(list(emission_intensity)))) AS factor FROM lookup),
 k AS (SELECT factor, row_number() OVER (ORDER BY factor) - 1 AS k, count(*) OVER () AS n FROM f),
 c AS (SELECT loan_id, k, n, abs({changed} - {cpd_sql()}) AS change FROM lookup CROSS JOIN k),
-g AS (SELECT loan_id, trial FROM lookup CROSS JOIN (SELECT CAST(unnest(range(100)) AS BIGINT) AS trial) t),
+g AS (SELECT loan_id, percent, (percent // 10 - 1) * 100 + trial AS run FROM lookup
+      CROSS JOIN (SELECT unnest([10, 20, 30]) AS percent) p CROSS JOIN (SELECT CAST(unnest(range(100)) AS BIGINT) AS trial) t),
 {steps}d AS (SELECT x5_t.*, c.change FROM x5_t JOIN (SELECT max(n) AS n FROM k) z ON true
       JOIN c ON c.loan_id = x5_t.loan_id AND c.k = CAST(floor(x5 * z.n / {m!r}) AS BIGINT)),
-m AS (SELECT p.percent, trial, avg(CASE WHEN x3 < p.percent / 100.0 * {m!r} THEN change WHEN change IS NULL THEN NULL ELSE 0.0 END) AS mae
-      FROM d CROSS JOIN (SELECT unnest([10, 20, 30]) AS percent) p GROUP BY p.percent, trial)
+m AS (SELECT percent, run, avg(CASE WHEN x3 < percent / 100.0 * {m!r} THEN change WHEN change IS NULL THEN NULL ELSE 0.0 END) AS mae
+      FROM d GROUP BY percent, run)
 SELECT percent / 100.0 AS rate, {r('avg(mae)')} AS mean_abs_cpd_change, {r('stddev_pop(mae)')} AS std_abs_cpd_change
 FROM m GROUP BY percent"""
 

@@ -120,3 +120,34 @@ def test_purpose_keys(spark):
     assert got["Debt Consolidation"] == SECTOR["debt_consolidation"]
     assert got["COAL"] == SECTOR["coal"]
     assert got["zzz"] == got[None] == config.SECTOR_DEFAULT_INTENSITY
+
+
+def test_proxy_sensitivity_draws_anew_for_every_rate(spark):
+    """Every (loan, rate, trial) has draws of its own: the result is that of 2 x 5 separate runs over all loans."""
+    import statistics
+
+    from tempest.operators import scenarios as S
+    from tempest.sources import dims
+
+    rows = [(i, 0.05 + i / 100, 0.4, [0.1, 0.5, 0.9][i % 3], 3e4 + i, 1e3) for i in range(40)]
+    inputs = spark.createDataFrame(rows, "loan_id long, Baseline_PD double, hazard double, emission_intensity double, annual_inc double, EAD double")
+    got = {round(r["rate"], 2): r for r in S.proxy_sensitivity(inputs, (0.2, 0.6), trials=5).collect()}
+    factors = [0.1, 0.5, 0.9]
+    every = inputs.crossJoin(spark.createDataFrame([(f,) for f in factors], "f double"))
+    phys = overlay.physical_pd("Baseline_PD", "hazard", 0.3)
+    price = dims.scenario_price("orderly")
+    change = F.abs(overlay.transition_pd(phys, "f", "annual_inc", price) - overlay.transition_pd(phys, "emission_intensity", "annual_inc", price))
+    by = {(r["loan_id"], r["f"]): r["c"] for r in every.select("loan_id", "f", change.alias("c")).collect()}
+    for k, rate in enumerate((0.2, 0.6)):
+        means = []
+        for trial in range(5):
+            total = 0.0
+            for i, *_ in rows:
+                at = {}
+                for name, text in S.draw_steps("row", "counter", 42):
+                    at[name] = eval(text, {"row": i, "counter": k * 5 + trial, **at})  # noqa: S307
+                if at["x3"] < rate * S.DRAW_MODULUS:
+                    total += by[i, factors[int(at["x5"] * 3 / S.DRAW_MODULUS)]]
+            means.append(total / len(rows))
+        assert got[rate]["mean_abs_cpd_change"] == pytest.approx(statistics.fmean(means), abs=1e-12)
+        assert got[rate]["std_abs_cpd_change"] == pytest.approx(statistics.pstdev(means), abs=1e-12)
