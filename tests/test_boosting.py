@@ -198,6 +198,15 @@ def test_cv_of_the_spark_models_is_kept(spark, mf, tmp_path):
     assert again == first and book.version() == version  # read, not fitted again
 
 
+def test_every_unit_has_a_task_of_its_own(spark, mf):
+    """Four blocks and five folds are twenty tasks with one unit each, the first listed first."""
+    blocks = B.binned_blocks(mf, FEW, 5, run_folder(spark, "t"), -(-mf.where("split in ('train', 'test')").count() // 4))
+    work = B.deal(blocks, [("{}", f, [10]) for f in range(5)], blocks.count())
+    got = work.select("unit", "fold", F.spark_partition_id().alias("task")).orderBy("task").collect()
+    assert len(got) == 20 and len({r["task"] for r in got}) == 20
+    assert [r["fold"] for r in got] == [r["unit"] for r in got] == sorted(r["unit"] for r in got)
+
+
 def test_rows_of_the_ledger_outlive_later_upserts(spark, mf, tmp_path):
     """A comparison reads several models' rows after all of them are written: versions read before are gone by then."""
     blocks = B.binned_blocks(mf, FEW, 2, run_folder(spark, "t"))
