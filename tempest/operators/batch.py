@@ -59,10 +59,13 @@ def upload_summary(scored: DataFrame, n_input, scenario: str) -> DataFrame:
 
 
 def write_results(scored: DataFrame, summary: DataFrame, out_dir: str) -> None:
-    """S8 CSV with header, S9 JSON records (missing numbers -> 0) and the summary as JSON."""
+    """S8 CSV with header, S9 JSON records (missing numbers -> 0) and the summary as JSON.
+
+    The records name every column in every row, so they are written gzipped; Spark and other readers open them as they are.
+    """
     scored.write.mode("overwrite").option("header", True).csv(f"{out_dir}/results_csv")
     numeric = [f.name for f in scored.schema.fields if isinstance(f.dataType, T.NumericType)]
-    scored.na.fill(0, subset=numeric).write.mode("overwrite").json(f"{out_dir}/results_json")
+    scored.na.fill(0, subset=numeric).write.mode("overwrite").option("compression", "gzip").json(f"{out_dir}/results_json")
     summary.write.mode("overwrite").json(f"{out_dir}/summary_json")
 
 

@@ -162,3 +162,15 @@ def test_climate_json_source_maps_to_long_form(spark, tmp_path):
     valid = CL.valid_observations(obs)
     # the sentinel and the annual pseudo-month 13 are not valid observations
     assert valid.count() == 3
+
+
+def test_json_results_are_gzipped_and_whole(spark, tmp_path):
+    """The records name every column in every row: written compressed, read back as they were, missing numbers as 0."""
+    from tempest.operators import batch
+
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else i / 8, "High") for i in range(500)], "loan_id long, CPD double, Risk_Category string")
+    batch.write_results(rows, rows.limit(1), str(tmp_path))
+    parts = list((tmp_path / "results_json").glob("part-*"))
+    assert parts and all(p.name.endswith(".json.gz") for p in parts)
+    back = {r["loan_id"]: (r["CPD"], r["Risk_Category"]) for r in spark.read.json(str(tmp_path / "results_json")).collect()}
+    assert back == {i: (0.0 if i % 7 == 0 else i / 8, "High") for i in range(500)}
